@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by a permutation index (operator 9).
 
 Every vector is represented by its nearest pivots in order. Vectors are kept in
-blocks; a block's inverted files list, for each pivot, the rows that have it
-among their nearest, with its place. A query reads the files of its own nearest
-pivots, which gives the footrule distance to each row; the rows of smallest
-footrule are reranked by exact distance. Each block's nearest go to a top-k.
+blocks; a block has an inverted file for each pivot, which holds the pivot's
+place in the order of each row (with so many nearest pivots, dense files are
+smaller than lists). A query reads only the files of its own nearest pivots,
+which give the footrule distance to each row; the rows of smallest footrule are
+reranked by exact distance. Each block's nearest go to a top-k.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pivots: the distinct vectors of smallest id hash among this many.
-PIVOTS, PIVOT_SAMPLE = 128, 512
+PIVOTS, PIVOT_SAMPLE = 256, 1024
 #: Nearest pivots that represent a vector.
-NEAREST = 32
+NEAREST = 96
 #: Share of each block that is reranked, and the least number of rows.
-RERANK, RERANK_LEAST = 0.15, 64
+RERANK, RERANK_LEAST = 0.12, 64
 BLOCK, QUERY_BLOCK = 4096, 1024
 
 
@@ -76,23 +77,18 @@ def search_block(q_ids, q, ids, x, p, k: int) -> Iterator[tuple[int, np.ndarray,
     """For each query: ids and distances of the block's nearest found, by footrule, then exact."""
     nearest = min(NEAREST, len(p))
     own, asked = places(x, p, nearest), places(q, p, nearest)
-    # inverted files: rows and places by pivot
-    flat = own.ravel()
-    order = np.argsort(flat, kind="stable")
-    row, place = order // nearest, (order % nearest).astype(np.int32)
-    start = np.searchsorted(flat[order], np.arange(len(p) + 1))
+    # inverted files: a pivot missing from a row's order stands at place `nearest`
+    files = np.full((len(p), len(ids)), nearest, np.int16)
+    files[own.ravel(), np.repeat(np.arange(len(ids)), nearest)] = np.tile(np.arange(nearest, dtype=np.int16), len(ids))
     keep = min(len(ids), max(RERANK_LEAST, int(np.ceil(RERANK * len(ids)))))
     by_id = np.argsort(ids, kind="stable")
     rank_of_id = np.empty(len(ids), np.int64)
     rank_of_id[by_id] = np.arange(len(ids))
-    # a pivot missing on one side counts as standing at place `nearest`
-    missing = nearest * (nearest + 1) // 2
-    gain = nearest - np.arange(nearest)
+    at = np.arange(nearest, dtype=np.int16)[:, None]
     for i in range(len(q_ids)):
-        foot = np.full(len(ids), 2 * missing, np.int64)
-        for at, pivot in enumerate(asked[i]):
-            s = slice(start[pivot], start[pivot + 1])
-            foot[row[s]] += np.abs(place[s] - at) - gain[place[s]] - (nearest - at)
+        # up to a constant: |place - at| of the query's pivots, and what the row's other pivots lack to `nearest`
+        read = files[asked[i]]
+        foot = (np.abs(read - at) + read).sum(0, dtype=np.int64)
         key = foot * len(ids) + rank_of_id
         cand = np.argpartition(key, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
         cand = cand[ids[cand] != q_ids[i]]
