@@ -1,4 +1,367 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, with their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The matrix A is lineitem (row l_orderkey, column l_partkey, value the quantities
+added up), x a formula over part, the row domain orders; timings are events.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindle.jobs import analytics, sweep
+from spindle.operators import matrix, schedule, spmv, validate
+from spindle.sources import mtx, results
+
+WORKERS, CHUNK = 8, 100
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def entries(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
+
+
+def a_matrix(spark, d) -> DataFrame:
+    return matrix.coalesced(entries(spark, d))
+
+
+def vector(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("j"), ((F.col("p_partkey") * 7 + 3) % 10).cast("double").alias("x"))
+
+
+def domain(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("i"))
+
+
+def timings(spark, d) -> DataFrame:
+    user = F.col("user_id")
+    return table(spark, d, "events").select(F.col("event_type").alias("executable"), F.pow(F.lit(2.0), user % 4).cast("long").alias("threads"), F.expr("CASE user_id div 4 % 3 WHEN 0 THEN 10L WHEN 1 THEN 100L ELSE 1000L END").alias("chunk"), F.col("value").alias("time"))
+
+
+def n_rows(spark, d) -> int:
+    return table(spark, d, "orders").count()
+
+
+COO = "coo AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+X = "x AS (SELECT p_partkey AS j, CAST((p_partkey * 7 + 3) % 10 AS DOUBLE) AS x FROM part)"
+Y = f"{COO}, {X}, y AS (SELECT o_orderkey AS i, coalesce(sum(v * x), 0.0) AS y FROM orders LEFT JOIN coo ON o_orderkey = i LEFT JOIN x USING (j) GROUP BY 1)"
+SPMV = f"WITH {Y} SELECT i, y FROM y"
+T = "t AS (SELECT event_type AS executable, CAST(1 << CAST(user_id % 4 AS INTEGER) AS BIGINT) AS threads, CAST(CASE user_id // 4 % 3 WHEN 0 THEN 10 WHEN 1 THEN 100 ELSE 1000 END AS BIGINT) AS chunk, value AS time FROM events)"
+
+
+def p90_sql(keys: str, name: str) -> str:
+    at = "CAST(floor(least(greatest(0.9 * len(s) + 0.5, 1), len(s))) AS BIGINT)"
+    return f"{name} AS (SELECT {keys}, s[{at}] + (least(greatest(0.9 * len(s) + 0.5, 1), len(s)) - {at}) * (s[least({at} + 1, len(s))] - s[{at}]) AS p90 FROM (SELECT {keys}, list_sort(list(time)) AS s FROM t WHERE time IS NOT NULL GROUP BY ALL))"
+
+
+P90 = f"{T}, {p90_sql('executable, threads', 'p')}"
+P90C = f"{T}, {p90_sql('executable, threads, chunk', 'c')}"
+PTR = f"{COO}, n AS (SELECT o_orderkey AS i, count(coo.i) AS n FROM orders LEFT JOIN coo ON o_orderkey = coo.i GROUP BY 1), p AS (SELECT i, CAST(sum(n) OVER (ORDER BY i) - n AS BIGINT) AS row_start, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS row_end FROM n)"
+MERGE = f"""{PTR}, e AS (SELECT row_end + i AS e FROM p), s AS (SELECT max(e) + 1 AS t, (max(e) + {WORKERS}) // {WORKERS} AS items FROM e),
+g AS (SELECT CAST(part AS BIGINT) AS part, (SELECT count(*) FROM e WHERE e.e < part * items) AS row, least(part * items, t) AS d FROM s, range({WORKERS + 1}) r(part)), m AS (SELECT part, row, CAST(d - row AS BIGINT) AS nz FROM g)"""
+
+
+@query(SPMV)
+def spmv_csr(spark, d):
+    return spmv.multiply(a_matrix(spark, d), vector(spark, d), domain(spark, d))
+
+
+@query(SPMV)
+def spmv_coo(spark, d):
+    return spmv.multiply(entries(spark, d), vector(spark, d), domain(spark, d))
+
+
+@query(SPMV)
+def spmv_csr_nested(spark, d):
+    return spmv.multiply_nested(a_matrix(spark, d), vector(spark, d), domain(spark, d))
+
+
+@query(SPMV)
+def spmv_merge(spark, d):
+    return spmv.multiply_merge(a_matrix(spark, d), vector(spark, d), domain(spark, d), WORKERS)
+
+
+@query("SELECT vec_id AS i, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: CAST(embedding[k] AS DOUBLE) * (((k - 1) * 7 + 3) % 10))), 6) AS y FROM embeddings")
+def spmv_dense(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("a"))
+    y = F.aggregate(F.transform("a", lambda v, k: v * ((k * 7 + 3) % 10)), F.lit(0.0), lambda s, p: s + p)
+    return rows.select("i", F.round(y, 6).alias("y"))
+
+
+@query(f"WITH {COO}, w AS (SELECT o_orderkey AS i, CAST((o_orderkey * 7 + 3) % 10 AS DOUBLE) AS x FROM orders) SELECT p_partkey AS j, coalesce(sum(v * x), 0.0) AS y FROM part LEFT JOIN coo ON p_partkey = j LEFT JOIN w USING (i) GROUP BY 1")
+def spmv_transpose(spark, d):
+    x = domain(spark, d).select(F.col("i").alias("j"), ((F.col("i") * 7 + 3) % 10).cast("double").alias("x"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("i"))
+    return spmv.multiply(matrix.transposed(a_matrix(spark, d)), x, rows).withColumnRenamed("i", "j")
+
+
+@query(f"WITH {COO} SELECT i, j, v FROM coo")
+def coo_coalesce(spark, d):
+    return a_matrix(spark, d)
+
+
+@query(f"WITH {COO} SELECT count(*) AS nnz FROM coo")
+def coo_distinct_nnz(spark, d):
+    return matrix.distinct_nnz(entries(spark, d))
+
+
+@query(f"WITH {COO} SELECT i, j, v FROM coo ORDER BY i, j")
+def coo_sorted(spark, d):
+    return a_matrix(spark, d).orderBy("i", "j")
+
+
+@query(f"WITH {COO} SELECT i, j, v, CAST(row_number() OVER (ORDER BY i, j) - 1 AS BIGINT) AS k FROM coo")
+def nnz_ordinal(spark, d):
+    return matrix.ordinals(a_matrix(spark, d))
+
+
+@query("WITH l AS (SELECT l_orderkey AS i, l_partkey AS j, lag(l_orderkey) OVER w AS pi, lag(l_partkey) OVER w AS pj FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_partkey)) SELECT i, j, pi IS NULL OR pi <> i AS new_row, pi IS NULL OR pi <> i OR pj <> j AS new_col FROM l")
+def coo_boundaries(spark, d):
+    return matrix.boundaries(entries(spark, d))
+
+
+def row_ptr(spark, d):
+    return matrix.row_pointers(a_matrix(spark, d), domain(spark, d))
+
+
+query(f"WITH {PTR} SELECT i, row_start, row_end FROM p")(row_ptr)
+query(f"WITH {PTR}, o AS (SELECT i, j, v, CAST(row_number() OVER (ORDER BY i, j) - 1 AS BIGINT) AS k FROM coo) SELECT k, o.i, j, v, row_start, row_end FROM o JOIN p USING (i)", "coo_to_csr")(
+    lambda spark, d: matrix.ordinals(a_matrix(spark, d)).join(row_ptr(spark, d), "i").select("k", "i", "j", "v", "row_start", "row_end")
+)
+
+
+@query(f"WITH {COO} SELECT i, count(*) AS n, min(j) AS first_col, max(j) AS last_col, sum(v) AS total FROM coo GROUP BY i")
+def csr_rows_nested(spark, d):
+    rows = matrix.nested_rows(a_matrix(spark, d))
+    return rows.select("i", F.size("cols").cast("long").alias("n"), F.element_at("cols", 1).alias("first_col"), F.element_at("cols", -1).alias("last_col"), F.aggregate("vals", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+def _part_query(name: str, column, sql: str) -> None:
+    def run(spark, d):
+        rows = domain(spark, d)
+        return rows.withColumn("part", column(n_rows(spark, d))).groupBy("part").agg(F.count("*").alias("n_rows"), F.min("i").alias("min_i"), F.max("i").alias("max_i"))
+
+    query(f"SELECT CAST({sql} AS BIGINT) AS part, count(*) AS n_rows, min(o_orderkey) AS min_i, max(o_orderkey) AS max_i FROM orders, (SELECT count(*) AS r FROM orders) GROUP BY 1", name)(run)
+
+
+_part_query("part_static", lambda r: schedule.static("i", r, WORKERS), f"o_orderkey * {WORKERS} // r")
+_part_query("part_static_chunked", lambda r: schedule.static_chunked("i", CHUNK, WORKERS), f"(o_orderkey // {CHUNK}) % {WORKERS}")
+_part_query("part_dynamic", lambda r: schedule.dynamic("i", CHUNK), f"o_orderkey // {CHUNK}")
+_part_query("part_manual", lambda r: schedule.manual("i", r, WORKERS), f"((o_orderkey + 1) * {WORKERS} - 1) // r")
+_part_query("part_task", lambda r: schedule.task("i"), "o_orderkey")
+
+
+@query(f"WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS lo, (r + {WORKERS - 1}) // {WORKERS} AS hi, r FROM (SELECT count(*) AS r FROM orders) UNION ALL SELECT chunk + 1, hi, hi + (r - hi + {WORKERS - 1}) // {WORKERS}, r FROM g WHERE hi < r) SELECT chunk, lo, hi, (SELECT count(*) FROM orders WHERE o_orderkey >= lo AND o_orderkey < hi) AS n_rows FROM g")
+def part_guided(spark, d):
+    bounds = schedule.guided(spark, n_rows(spark, d), WORKERS)  # workers * log(rows) boundaries
+    i = domain(spark, d)
+    return i.join(F.broadcast(bounds), (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")), "right").groupBy("chunk", "lo", "hi").agg(F.count("i").alias("n_rows"))
+
+
+@query(f"WITH {MERGE} SELECT part, row, nz FROM m")
+def merge_path_coords(spark, d):
+    return schedule.merge_coordinates(a_matrix(spark, d), domain(spark, d), WORKERS)
+
+
+@query(f"""WITH {MERGE}, b AS (SELECT part, lead(row) OVER (ORDER BY part) - row AS n_rows, lead(nz) OVER (ORDER BY part) - nz AS nnz FROM m),
+q AS (SELECT i, ((i + 1) * {WORKERS} - 1) // (SELECT count(*) FROM orders) AS part, n FROM n)
+SELECT 'merge' AS scheme, part, CAST(n_rows AS BIGINT) AS n_rows, CAST(nnz AS BIGINT) AS nnz, CAST(n_rows + nnz AS BIGINT) AS items FROM b WHERE part < {WORKERS}
+UNION ALL SELECT 'manual', CAST(part AS BIGINT), count(*), CAST(sum(n) AS BIGINT), CAST(count(*) + sum(n) AS BIGINT) FROM q GROUP BY part""")
+def part_balance(spark, d):
+    return schedule.balance(a_matrix(spark, d), domain(spark, d), WORKERS, n_rows(spark, d))
+
+
+def perturbed(y: DataFrame) -> DataFrame:
+    return y.select("i", F.when(F.col("i") % 97 == 0, F.col("y") + 0.5).otherwise(F.col("y")).alias("y"))
+
+
+BAD = f"WITH {Y}, m AS (SELECT i, y AS a, CASE WHEN i % 97 = 0 THEN y + 0.5 ELSE y END AS b FROM y)"
+ABSOLUTE, MIXED = "abs(a - b) > 1e-12", "abs(a - b) > 1e-15 + 1e-12 * greatest(abs(a), abs(b))"
+
+
+def _pairs(spark, d):
+    y = spmv_csr(spark, d)
+    return validate.paired(y, perturbed(spmv_merge(spark, d)))
+
+
+@query(f"{BAD} SELECT count(*) AS mismatches FROM m WHERE {ABSOLUTE}")
+def spmv_validate(spark, d):
+    return validate.mismatches(_pairs(spark, d), validate.absolute())
+
+
+@query(f"{BAD} SELECT count(*) AS mismatches FROM m WHERE {MIXED}")
+def spmv_validate_rel(spark, d):
+    return validate.mismatches(_pairs(spark, d), validate.mixed())
+
+
+@query(f"{BAD} SELECT i, a, b FROM m WHERE {ABSOLUTE} ORDER BY i LIMIT {validate.LISTED}")
+def spmv_mismatch_topk(spark, d):
+    return validate.first_mismatches(_pairs(spark, d), validate.absolute())
+
+
+@query(f"WITH {Y} SELECT i, y FROM y ORDER BY i LIMIT 10")
+def spmv_head10(spark, d):
+    return spmv_csr(spark, d).orderBy("i").limit(10)
+
+
+@query(f"WITH {X} SELECT j, x FROM x")
+def vec_gen(spark, d):
+    return vector(spark, d)
+
+
+# each nation meets all combinations of a type's words
+_CASES = "SELECT CAST(n_nationkey AS BIGINT) AS k, f, d, s FROM nation, unnest(['coordinate', 'array']) a(f), unnest(['real', 'complex', 'pattern', 'integer']) b(d), unnest(['general', 'symmetric', 'hermitian', 'skew-symmetric']) c(s)"
+
+
+def _codes(spark, d):
+    words = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    keys = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    return keys.select("k", words("f", mtx.FORMATS)).select("*", words("d", mtx.FIELDS)).select("*", words("s", mtx.SYMMETRIES))
+
+
+@query(f"SELECT k, f, d, s, NOT ((f = 'array' AND d = 'pattern') OR (d = 'real' AND s = 'hermitian') OR (d = 'pattern' AND s IN ('hermitian', 'skew-symmetric'))) AS valid FROM ({_CASES})")
+def mm_valid(spark, d):
+    return _codes(spark, d).withColumn("valid", mtx.valid(F.col("f"), F.col("d"), F.col("s")))
+
+
+@query(f"SELECT k, 'matrix ' || f || ' ' || d || ' ' || s AS text FROM ({_CASES})")
+def mm_type_text(spark, d):
+    return _codes(spark, d).select("k", mtx.type_text(F.col("f"), F.col("d"), F.col("s")).alias("text"))
+
+
+@query(f"SELECT k, f, d, s, f = 'coordinate' AS is_sparse, f = 'array' AS is_dense, d = 'complex' AS is_complex, d = 'real' AS is_real, d = 'pattern' AS is_pattern, d = 'integer' AS is_integer, s = 'general' AS is_general, s = 'symmetric' AS is_symmetric, s = 'hermitian' AS is_hermitian, s = 'skew-symmetric' AS is_skew FROM ({_CASES})")
+def mm_type_flags(spark, d):
+    flags = {"is_sparse": "f = 'coordinate'", "is_dense": "f = 'array'"} | {f"is_{w}": f"d = '{w}'" for w in mtx.FIELDS} | {f"is_{w.split('-')[0]}": f"s = '{w}'" for w in mtx.SYMMETRIES}
+    order = ("is_sparse", "is_dense", "is_complex", "is_real", "is_pattern", "is_integer", "is_general", "is_symmetric", "is_hermitian", "is_skew")
+    return _codes(spark, d).select("k", "f", "d", "s", *(F.expr(flags[n]).alias(n) for n in order))
+
+
+def _written(spark, d) -> str:
+    """The matrix as Matrix Market text in the scratch folder that the cluster shares."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{base.rstrip('/')}/mtx-{uuid.uuid4().hex}"
+    coo = a_matrix(spark, d)
+    nnz, rows, cols = coo.count(), n_rows(spark, d), table(spark, d, "part").count()
+    mtx.write(coo, path, mtx.Meta("coordinate", "integer", "general", rows, cols, nnz))
+    return path
+
+
+@query(f"WITH {COO} SELECT 'coordinate' AS format, 'integer' AS field, 'general' AS symmetry, (SELECT count(*) FROM orders) AS n_rows, (SELECT count(*) FROM part) AS n_cols, (SELECT count(*) FROM coo) AS nnz")
+def mm_size(spark, d):
+    meta = mtx.header(spark, _written(spark, d))[0]
+    return spark.createDataFrame([(meta.format, meta.field, meta.symmetry, meta.n_rows, meta.n_cols, meta.nnz)], "format string, field string, symmetry string, n_rows long, n_cols long, nnz long")
+
+
+@query(f"WITH {COO} SELECT i + 1 AS i, j + 1 AS j, v FROM coo")
+def mm_coo(spark, d):
+    return mtx.read(spark, _written(spark, d), zero_based=False)[1]
+
+
+@query(f"WITH {COO} SELECT i, j, v FROM coo")
+def mm_coo_zero_based(spark, d):
+    return mtx.read(spark, _written(spark, d))[1]
+
+
+@query("SELECT event_type AS executable, count(*) AS n, CAST(count(DISTINCT user_id % 4) AS BIGINT) AS n_threads FROM events GROUP BY 1")
+def bench_dims(spark, d):
+    return timings(spark, d).groupBy("executable").agg(F.count("*").alias("n"), F.count_distinct("threads").alias("n_threads"))
+
+
+@query(f"WITH {T} SELECT executable, threads, chunk, count(*) AS n, min(time) AS least, max(time) AS most FROM t GROUP BY ALL")
+def bench_scan(spark, d):
+    return timings(spark, d).groupBy("executable", "threads", "chunk").agg(F.count("*").alias("n"), F.min("time").alias("least"), F.max("time").alias("most"))
+
+
+@query(f"WITH {P90} SELECT executable, threads, round(p90, 6) AS p90 FROM p")
+def bench_p90(spark, d):
+    return analytics.p90(timings(spark, d)).withColumn("p90", F.round("p90", 6))
+
+
+@query(f"WITH {T} SELECT executable, threads, round(coalesce(stddev_samp(time), 0), 6) AS std FROM t GROUP BY ALL")
+def bench_std(spark, d):
+    return analytics.std(timings(spark, d)).withColumn("std", F.round("std", 6))
+
+
+@query(f"WITH {T} SELECT executable, threads, round(avg(time), 6) AS mean FROM t GROUP BY ALL")
+def bench_avg(spark, d):
+    return analytics.mean(timings(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {P90C} SELECT executable, threads, chunk, round(p90, 6) AS p90 FROM c")
+def bench_chunk_p90(spark, d):
+    return analytics.chunk_p90(timings(spark, d)).withColumn("p90", F.round("p90", 6))
+
+
+BASE = "CLICK"
+
+
+@query(f"WITH {P90} SELECT round(avg(p90), 6) AS baseline FROM p WHERE executable = (SELECT min(executable) FROM p WHERE lower(executable) LIKE '%click%')")
+def bench_baseline(spark, d):
+    return analytics.baseline(analytics.p90(timings(spark, d)), BASE).withColumn("baseline", F.round("baseline", 6))
+
+
+@query(f"""WITH {P90}, b AS (SELECT avg(p90) AS b FROM p WHERE executable = (SELECT min(executable) FROM p WHERE lower(executable) LIKE '%click%'))
+SELECT executable, threads, round(b / (p90 * threads) * 100, 6) AS efficiency FROM p, b WHERE lower(executable) NOT LIKE '%click%' UNION ALL SELECT DISTINCT 'ideal', threads, 100.0 FROM p""")
+def bench_efficiency(spark, d):
+    return analytics.efficiency(analytics.p90(timings(spark, d)), BASE).withColumn("efficiency", F.round("efficiency", 6))
+
+
+@query(f"""WITH {P90}, x AS (SELECT *, dense_rank() OVER (ORDER BY threads) AS x FROM p), r AS (SELECT *, rank() OVER (PARTITION BY x ORDER BY p90) AS rank FROM x)
+SELECT executable, x, round(p90, 6) AS y, rank, CASE WHEN rank % 2 = 0 THEN 'left' ELSE 'top' END AS side, CASE WHEN p90 >= 0.01 THEN printf('%.3f', p90) WHEN p90 >= 0.001 THEN printf('%.4f', p90) ELSE printf('%.2e', p90) END AS label FROM r""")
+def bench_labels(spark, d):
+    return analytics.labels(analytics.p90(timings(spark, d))).withColumn("y", F.round("y", 6))
+
+
+@query(f"WITH {P90}, {p90_sql('executable, threads, chunk', 'c')} SELECT 'default' AS bench, executable, threads, CAST(NULL AS BIGINT) AS chunk, round(p90, 6) AS p90 FROM p UNION ALL SELECT 'chunked', executable, threads, chunk, round(p90, 6) FROM c")
+def bench_union(spark, d):
+    t = timings(spark, d)
+    plain = analytics.p90(t).select(F.lit("default").alias("bench"), "executable", "threads", F.lit(None).cast("long").alias("chunk"), F.round("p90", 6).alias("p90"))
+    return plain.unionByName(analytics.chunk_p90(t).select(F.lit("chunked").alias("bench"), "executable", "threads", "chunk", F.round("p90", 6).alias("p90")))
+
+
+@query(f"WITH {P90C} SELECT executable, chunk, " + ", ".join(f"round(max(CASE WHEN threads = {t} THEN p90 END), 6) AS t{t}" for t in (1, 2, 4, 8)) + " FROM c GROUP BY ALL")
+def heat_pivot(spark, d):
+    wide = analytics.heat(analytics.chunk_p90(timings(spark, d)), [1, 2, 4, 8])
+    return wide.select("executable", "chunk", *(F.round(f"t{t}", 6).alias(f"t{t}") for t in (1, 2, 4, 8)))
+
+
+@query(f"""WITH {P90C}, s AS (SELECT executable, min(p90) AS lo, max(p90) AS hi FROM c GROUP BY 1)
+SELECT executable, threads, chunk, CAST(CASE WHEN hi = lo THEN 256 ELSE least(greatest(round((p90 - lo) / (hi - lo) * 255) + 1, 1), 256) END AS BIGINT) AS bin FROM c JOIN s USING (executable)""")
+def heat_bins(spark, d):
+    return analytics.bins(analytics.chunk_p90(timings(spark, d)))
+
+
+@query("""WITH e AS (SELECT DISTINCT CASE WHEN n_nationkey % 4 = 0 THEN 'runtime_static' WHEN n_nationkey % 4 = 1 THEN 'runtime_dynamic' WHEN n_nationkey % 4 = 2 THEN 'runtime_guided' ELSE 'merge' END AS executable FROM nation),
+k AS (SELECT executable, CASE executable WHEN 'runtime_static' THEN 'static' WHEN 'runtime_dynamic' THEN 'dynamic' WHEN 'runtime_guided' THEN 'guided' END AS schedule FROM e)
+SELECT r_name AS matrix, executable, CAST(t AS BIGINT) AS threads, CAST(run AS BIGINT) AS run, CAST(CASE WHEN schedule IS NULL THEN NULL ELSE chunk END AS BIGINT) AS chunk, schedule
+FROM region, k, unnest([1, 2, 4, 8]) a(t), range(1, 4) b(run), unnest([10, 100, 1000, 10000]) c(chunk) WHERE schedule IS NOT NULL OR chunk = 10""")
+def sweep_plan(spark, d):
+    kind = F.expr("CASE n_nationkey % 4 WHEN 0 THEN 'runtime_static' WHEN 1 THEN 'runtime_dynamic' WHEN 2 THEN 'runtime_guided' ELSE 'merge' END")
+    executables = table(spark, d, "nation").select(kind.alias("executable")).distinct()
+    matrices = table(spark, d, "region").select(F.col("r_name").alias("matrix"))
+    numbers = lambda name, values: spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("long") for v in values))).alias(name))
+    return sweep.plan(matrices, executables, numbers("threads", (1, 2, 4, 8)), numbers("run", (1, 2, 3)), numbers("chunk", (10, 100, 1000, 10000)))
+
+
+@query("SELECT event_id, TRY_CAST(nullif(regexp_extract('Elapsed time: ' || printf('%.6f', value) || ' seconds', 'Elapsed time: (\\d+\\.\\d+)', 1), '') AS DOUBLE) AS seconds FROM events")
+def parse_elapsed(spark, d):
+    log = table(spark, d, "events").select("event_id", F.format_string("Elapsed time: %.6f seconds", "value").alias("line"))
+    return log.select("event_id", results.elapsed("line").alias("seconds"))
