@@ -4,8 +4,8 @@ Every vector is represented by its nearest pivots in order. Vectors are kept in
 blocks; a block has an inverted file for each pivot, which holds the pivot's
 place in the order of each row (with so many nearest pivots, dense files are
 smaller than lists). A query reads only the files of its own nearest pivots,
-which give the footrule distance to each row; the rows of smallest footrule are
-reranked by exact distance. Each block's nearest go to a top-k.
+which give the footrule distance to each distinct vector; those of smallest
+footrule are reranked by exact distance, with all their copies. Each block's nearest go to a top-k.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pivots: the distinct vectors of smallest id hash among this many.
+#: Pivots, chosen far apart among the vectors of smallest id hash, so many.
 PIVOTS, PIVOT_SAMPLE = 256, 1024
 #: Nearest pivots that represent a vector.
 NEAREST = 96
-#: Share of each block that is reranked, and the least number of rows.
+#: Share of each block's distinct vectors that is reranked, and the least number of them.
 RERANK, RERANK_LEAST = 0.12, 64
 BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -37,13 +37,22 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def pivots(rows: DataFrame) -> np.ndarray:
-    """At most PIVOTS distinct vectors of the commonest length in the sample."""
+    """At most PIVOTS distinct vectors of the commonest length in the sample, each the farthest from those before it.
+
+    Pivots drawn at random would crowd in a dense cluster, and the order among
+    crowded pivots tells nothing about vectors elsewhere.
+    """
     sample = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(PIVOT_SAMPLE).collect()
     sizes = [len(r["v"]) for r in sample]
     if not sizes:
         return np.zeros((0, 0))
     dim = max(sorted(set(sizes)), key=sizes.count)
-    return np.array(list(dict.fromkeys(tuple(r["v"]) for r in sample if len(r["v"]) == dim))[:PIVOTS])
+    x = np.array(list(dict.fromkeys(tuple(r["v"]) for r in sample if len(r["v"]) == dim)))
+    chosen, gap = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < PIVOTS and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
 
 
 def places(x: np.ndarray, p: np.ndarray, nearest: int) -> np.ndarray:
@@ -76,25 +85,30 @@ def packed(rows: DataFrame, dim: int, size: int, name: str) -> DataFrame:
 def search_block(q_ids, q, ids, x, p, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: ids and distances of the block's nearest found, by footrule, then exact."""
     nearest = min(NEAREST, len(p))
-    own, asked = places(x, p, nearest), places(q, p, nearest)
-    # inverted files: a pivot missing from a row's order stands at place `nearest`
-    files = np.full((len(p), len(ids)), nearest, np.int16)
-    files[own.ravel(), np.repeat(np.arange(len(ids)), nearest)] = np.tile(np.arange(nearest, dtype=np.int16), len(ids))
-    keep = min(len(ids), max(RERANK_LEAST, int(np.ceil(RERANK * len(ids)))))
-    by_id = np.argsort(ids, kind="stable")
-    rank_of_id = np.empty(len(ids), np.int64)
-    rank_of_id[by_id] = np.arange(len(ids))
+    # equal vectors share one entry of the files, or the copies of one vector could fill the share that is reranked
+    _, first, entry = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    distinct, n = x[first], len(first)
+    own, asked = places(distinct, p, nearest), places(q, p, nearest)
+    # inverted files: a pivot missing from an entry's order stands at place `nearest`
+    files = np.full((len(p), n), nearest, np.int16)
+    files[own.ravel(), np.repeat(np.arange(n), nearest)] = np.tile(np.arange(nearest, dtype=np.int16), n)
+    keep = min(n, max(RERANK_LEAST, int(np.ceil(RERANK * n))))
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, entry, ids)
+    rank_of_id = np.argsort(np.argsort(least, kind="stable"), kind="stable")
     at = np.arange(nearest, dtype=np.int16)[:, None]
     for i in range(len(q_ids)):
-        # up to a constant: |place - at| of the query's pivots, and what the row's other pivots lack to `nearest`
+        # up to a constant: |place - at| of the query's pivots, and what the entry's other pivots lack to `nearest`
         read = files[asked[i]]
         foot = (np.abs(read - at) + read).sum(0, dtype=np.int64)
-        key = foot * len(ids) + rank_of_id
-        cand = np.argpartition(key, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
-        cand = cand[ids[cand] != q_ids[i]]
-        d = np.sqrt(((x[cand] - q[i]) ** 2).sum(1))
-        best = np.lexsort((ids[cand], d))[:k]
-        yield i, ids[cand][best], d[best]
+        key = foot * n + rank_of_id
+        cand = np.argpartition(key, keep - 1)[:keep] if keep < n else np.arange(n)
+        far = np.full(n, np.inf)
+        far[cand] = np.sqrt(((distinct[cand] - q[i]) ** 2).sum(1))
+        d = far[entry]
+        rows = np.flatnonzero((d < np.inf) & (ids != q_ids[i]))
+        best = rows[np.lexsort((ids[rows], d[rows]))[:k]]
+        yield i, ids[best], d[best]
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

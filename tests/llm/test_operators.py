@@ -137,6 +137,21 @@ def test_neighbours(spark):
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_neighbours_beside_a_dense_cluster(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2400, 24)).astype(np.float32)
+    x[:900] = x[0] + rng.normal(size=(900, 24)).astype(np.float32) / 50
+    x[900:1200] = x[900]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    right, asked = 0, list(range(1200, 2400, 50))
+    found = neighbours.search(table, table.where("vec_id >= 1200 AND vec_id % 50 = 0")).collect()
+    for q in asked:
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        right += len(set(np.lexsort((np.arange(2400), d))[:10]) & {r.vec_id for r in found if r.query_id == q})
+    assert right / (10 * len(asked)) >= 0.9
+
+
 def test_mixing(spark, docs, empty):
     assert compare(spark, "op10_mixing", registry.QUERIES["op10_mixing"], registry.ORACLE_SQL["op10_mixing"], SF) > 0
     out = mixing.mix(docs, weights={"s0": 1.0}, size=40.0)
