@@ -19,7 +19,6 @@ pairs inside the join; what is left is verified on the whole weighted sets.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words are runs of bytes other than space and 0x09 to 0x0D; in UTF-8 no other character holds these bytes.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
@@ -36,14 +36,20 @@ DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 #: Differing bits of 124 beyond which a pair is not verified: at similarity 0.8
 #: 12.4 are expected, with a deviation of 3.4.
 FAR_BITS = 30
-REMEMBERED = 300_000
-_words: dict[str, int] = {}
+#: Words hashed by one prefix sum, and bytes beyond which a word is hashed by itself.
+WORDS_AT_ONCE, LONG_WORD = 65_536, 256
+#: Elements handled at once: their arrays stay in a core's cache.
+AT_ONCE = 65_536
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -51,32 +57,72 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1) / 2**53
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """64-bit hashes of the text's shingles in order; under five words, one of all words; no word, none."""
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        both = [np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        for p in both:
+            p[0] = 1
+        _powers[:] = [np.cumprod(p) for p in both]
+    return _powers[0][:n], _powers[1]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the text's words in order: polynomials in their bytes, from prefix sums."""
     import xxhash
 
-    words = WORDS.findall(text) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    get = _words.get
-    h = []
-    for w in words:
-        x = get(w)
-        if x is None:
-            x = _words[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h.append(x)
-    own = np.array(h, np.uint64)
-    size = min(SHINGLE, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    b = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(SPACE[b], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), WORDS_AT_ONCE):
+        first, last = starts[k : k + WORDS_AT_ONCE], ends[k : k + WORDS_AT_ONCE]
+        part = b[first[0] : last[-1]]
+        powers, inverse = _powers_to(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * powers, out=sums[1:])
+        at = first - first[0]
+        out[k : k + WORDS_AT_ONCE] = (sums[last - first[0]] - sums[at]) * inverse[at]
+    size = ends - starts
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    return _mix(out + size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """64-bit hashes of the text's shingles in order; under five words, one of all words; no word, none."""
+    own = word_hashes(text)
+    if not len(own):
+        return own
+    size = min(SHINGLE, len(own))
+    out = np.full(len(own) - size + 1, size, np.uint64)
     for k in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + own[k : k + len(out)]
     return _mix(out)
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = COORDINATES, darts: float = DARTS) -> np.ndarray:
-    """Signatures (sets x k) of weighted sets (elements, weights); each set not empty."""
+    """Signatures (sets x k) of weighted sets (elements, counts of 1 or more); each set not empty."""
+    blocks, block, held = [], [], 0
+    for s in sets:
+        block.append(s)
+        held += len(s[0])
+        if held >= AT_ONCE:
+            blocks.append(_signed(block, k, darts))
+            block, held = [], 0
+    if block:
+        blocks.append(_signed(block, k, darts))
+    return np.concatenate(blocks)
+
+
+def _signed(sets: list[tuple[np.ndarray, np.ndarray]], k: int, darts: float) -> np.ndarray:
     sign = np.zeros((len(sets), k), np.uint64)
     todo, factor = np.arange(len(sets)), 1.0
     while len(todo):
@@ -84,22 +130,31 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = COORDINATES,
         weight = np.concatenate([sets[i][1] for i in todo]).astype(np.float64)
         owner = np.repeat(np.arange(len(todo)), [len(sets[i][0]) for i in todo])
         until = darts * factor / np.bincount(owner, weight, len(todo))
-        sums, ids, owners, times = [], [], [], []
+        ids, owners, times = [], [], []
         low, high = 0.0, 1.0  # heights in strips 0..1, 1..2, 2..4, 4..8 ...
         while len(element):
             stream = _mix(element + np.uint64((0x9E3779B97F4A7C15 * int(high)) & (2**64 - 1)))
             own, w, now, n = owner, weight, np.zeros(len(element)), 0
             while len(stream):
-                n += 1
-                dart = _mix(stream + np.uint64((n * 0xD1B54A32D192ED03) & (2**64 - 1)))
-                now = now - np.log(_unit(dart)) / (high - low)
-                on = now <= until[own]
-                stream, own, w, now, dart = stream[on], own[on], w[on], now[on], dart[on]
-                height = low + (high - low) * (1 - _unit(_mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
-                hit = height < w
+                left = (until[own] - now) * (high - low)  # darts that a stream is likely to throw yet
+                m = int(min(1 + left.mean(), max(1, 4 * AT_ONCE // len(stream))))
+                number = np.arange(n + 1, n + m + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+                n += m
+                dart = _mix(stream[:, None] + number)
+                gap = np.log(_unit(dart)) / (low - high)
+                gap[:, 0] += now
+                then = np.cumsum(gap, 1)
+                on = then <= until[own][:, None]
+                dart, thrown = dart[on], np.repeat(own, on.sum(1))
+                if high == 1.0:  # weights are counts: the first strip is inside every region
+                    hit = slice(None)
+                else:
+                    hit = low + (high - low) * (1 - _unit(_mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5)))) < np.repeat(w, on.sum(1))
                 ids.append(dart[hit])
-                owners.append(own[hit])
-                times.append(now[hit])
+                owners.append(thrown[hit])
+                times.append(then[on][hit])
+                go = on[:, -1]
+                stream, own, w, now = stream[go], own[go], w[go], then[go, -1]
             more = weight > high
             element, weight, owner = element[more], weight[more], owner[more]
             low, high = high, 2 * high
