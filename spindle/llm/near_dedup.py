@@ -215,11 +215,17 @@ def _similar(b: pa.RecordBatch) -> dict:
     return {"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)}
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def element_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The weighted sets of these keys, saved: made before the shuffle, as they are smaller than the texts.
+
+    The join is a merge join at every size: a broadcast of the keys would only hold for small inputs.
+    """
+    made = common.map_batches(texts, _elements, "key binary, elements binary")
+    return common.saved(made.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose whole weighted sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = common.map_batches(texts.join(needed, "key").groupBy("key").agg(F.first("text").alias("text")), _elements, "key binary, elements binary")
-    sets = common.saved(sets)
     joined = pairs.join(sets.withColumnsRenamed({"key": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "elements": "y"}), "b")
     return common.saved(common.map_batches(joined.select("a", "b", "x", "y"), _similar, "a binary, b binary"))
 
@@ -239,6 +245,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _mixed(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of the buckets that hold several components, with their own root and the bucket's main one; saved."""
+    placed = common.saved(live.join(roots, "key", "left").select("bucket", "key", "s1", "s2", F.coalesce("root", "key").alias("root")))
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
+    return common.saved(placed.join(parts.where("parts > 1").select("bucket", F.col("main.root").alias("main")), "bucket"))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _key (digest of the text), class_id and n_copies of every row.
 
@@ -262,18 +275,16 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     leaders = led.select("bucket", F.col("l.key").alias("other"), F.col("l.s1").alias("t1"), F.col("l.s2").alias("t2"))
     pair = (F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
     star = common.saved(live.join(leaders, "bucket").where((F.col("key") != F.col("other")) & near).select(*pair).distinct())
-    edges = verified(star, texts)
+    sets = element_sets(texts, live.select("key").distinct())
+    edges = verified(star, sets)
     roots = components(edges)
+    mixed = _mixed(live, roots)
     # second look: nodes outside their bucket's main component against the others of the bucket
-    placed = live.join(roots, "key", "left").select("bucket", "key", "s1", "s2", F.coalesce("root", "key").alias("root"))
-    placed = common.saved(placed)
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
-    mixed = common.saved(placed.join(parts.where("parts > 1").select("bucket", F.col("main.root").alias("main")), "bucket"))
     apart = mixed.where("root != main").select("bucket", F.col("key").alias("other"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("root").alias("apart"))
     cross = mixed.join(apart, (mixed["bucket"] == apart["bucket"]) & (F.col("root") != F.col("apart")) & ((F.col("root") == F.col("main")) | (F.col("key") < F.col("other"))) & near)
     fresh = common.saved(cross.select(*pair).distinct().join(star, ["a", "b"], "left_anti"))
     if fresh.limit(1).count():
-        more = verified(fresh, texts)
+        more = verified(fresh, sets)
         if more.limit(1).count():
             roots = components(edges.union(more))
     copies = rows.groupBy("key").agg(F.min("_id").alias("least"), F.count("*").alias("n"))
