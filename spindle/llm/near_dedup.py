@@ -11,8 +11,8 @@ weighted Jaccard similarity.
 Bands of the signature are joined. Equal texts are one node from the start. In
 each bucket every node is first held against one leader (the node that shares
 the most bucket places), which settles groups of near copies without their
-pairs; then only nodes that are still in another component than the bucket's
-main one meet the rest of the bucket. A bit sketch of the signature prunes far
+pairs; nodes in another component than the bucket's main one then meet a few
+more of its members, and only those still outside meet the rest of the bucket. A bit sketch of the signature prunes far
 pairs inside the join; what is left is verified on the whole weighted sets.
 """
 
@@ -36,6 +36,8 @@ DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 #: Differing bits of 124 beyond which a pair is not verified: at similarity 0.8
 #: 12.4 are expected, with a deviation of 3.4.
 FAR_BITS = 30
+#: Members of a bucket's main component that nodes outside it meet before they meet all.
+MORE_LEADERS = 4
 #: Words hashed by one prefix sum, and bytes beyond which a word is hashed by itself.
 WORDS_AT_ONCE, LONG_WORD = 65_536, 256
 #: Elements handled at once: their arrays stay in a core's cache.
@@ -278,8 +280,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sets = element_sets(texts, live.select("key").distinct())
     edges = verified(star, sets)
     roots = components(edges)
+    # more leaders, for nodes outside their bucket's main component: members of it, drawn by hashes
     mixed = _mixed(live, roots)
-    # second look: nodes outside their bucket's main component against the others of the bucket
+    drawn = mixed.where("root = main").groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "s1", "s2")).alias(f"l{k}") for k in range(MORE_LEADERS)))
+    drawn = drawn.select("bucket", F.explode(F.array(*(f"l{k}" for k in range(MORE_LEADERS)))).alias("l"))
+    drawn = drawn.select("bucket", F.col("l.key").alias("other"), F.col("l.s1").alias("t1"), F.col("l.s2").alias("t2"))
+    again = common.saved(mixed.where("root != main").join(drawn, "bucket").where(near).select(*pair).distinct().join(star, ["a", "b"], "left_anti"))
+    if again.limit(1).count():
+        edges, star = edges.union(verified(again, sets)), star.union(again)
+        roots = components(edges)
+        mixed = _mixed(live, roots)
+    # last look: nodes still outside against all others of the bucket
     apart = mixed.where("root != main").select("bucket", F.col("key").alias("other"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("root").alias("apart"))
     cross = mixed.join(apart, (mixed["bucket"] == apart["bucket"]) & (F.col("root") != F.col("apart")) & ((F.col("root") == F.col("main")) | (F.col("key") < F.col("other"))) & near)
     fresh = common.saved(cross.select(*pair).distinct().join(star, ["a", "b"], "left_anti"))
