@@ -63,6 +63,28 @@ def test_duplicate_lines_and_bands():
     assert quality.compression_verdict(b"", c) == (0.0, False)
 
 
+def test_noise_beside_prose_fails():
+    import base64
+
+    import pyarrow.parquet as pq
+    import zstandard
+
+    c, rng = zstandard.ZstdCompressor(level=3), np.random.default_rng(0)
+    tables = [pq.read_table(f"/root/testdata/sf0.01/{t}.parquet").to_pylist() for t in ("documents", "labels")]
+    good = {r["doc_id"] for r in tables[1] if r["quality"] == 1}
+    clean = [r["text"].encode() for r in tables[0] if r["doc_id"] in good and len(r["text"].split()) >= 20]
+    assert len(clean) > 100 and all(quality.compression_verdict(t, c)[1] for t in clean)
+    long = [t for t in clean if 4500 <= len(t) <= 13000]
+    assert len(long) > 3
+    for t in long:
+        for share in (0.5, 0.7, 0.8, 1):
+            size = int(len(t) * share / (1 - share)) if share < 1 else len(t)
+            code = base64.b64encode(rng.bytes(size))
+            noise = b"\n".join(code[k : k + 76] for k in range(0, size, 76))
+            assert not quality.compression_verdict(noise if share == 1 else t + b"\n" + noise, c)[1]
+            assert not quality.compression_verdict(noise[: max(size // 9, 300)], c)[1]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 40, 1000, 4097])
 def test_feistel_is_a_bijection_and_inverts(n):
     p = sharding.permute(np.arange(n), n, 7)
