@@ -23,8 +23,6 @@ from . import common
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Training rows at most (expected; chosen by a hash of the text, so the sample is the same each time).
-TRAIN_ROWS = 20_000
 #: Words longer than this are scored in parts of this many characters; nothing is cut off.
 PART = 24
 #: A character that no piece covers.
@@ -170,18 +168,15 @@ class WordScores:
                 np.add.at(self.log, owner[own], np.log(np.maximum(self.pieces.forward([parts[i] for i in own], self.p), 1e-300)))
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", train_rows: int = TRAIN_ROWS, path: str | None = None) -> tuple[list[str], np.ndarray]:
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", path: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order, and piece probabilities (pieces and the unknown character x languages).
 
-    Rows with a null language or text teach nothing. Word counts and expected
-    pieces are summed by Spark; the driver gets at most one number for each
-    language and piece.
+    Every row teaches, equal texts of a language once; rows with a null language
+    or text teach nothing. Word counts and expected pieces are summed by Spark;
+    the driver gets at most one number for each language and piece.
     """
     place = common.vocabulary("piece_bpe_32k.model", path)
-    rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    n = rows.count()
-    if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").distinct()
 
     def count(b: pa.RecordBatch) -> dict:
         found: Counter = Counter()

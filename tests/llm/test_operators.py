@@ -102,6 +102,16 @@ def test_language_id(spark, docs, empty):
     assert right > 0.95
 
 
+def test_language_id_learns_from_every_distinct_text(spark):
+    """A language of two rows in 24,002, and a text that is a third of all rows, at a size where rows were once sampled."""
+    rows = [(f"the cat sat on mat {i}", "en") for i in range(16000)] + [("zebra zebra zebra", "en")] * 8000
+    table = spark.createDataFrame([*rows, ("der Hund schläft", "de"), ("und die Katze nicht", "de")], "text string, lang string").repartition(4)
+    once = spark.createDataFrame([*dict.fromkeys(rows), ("der Hund schläft", "de"), ("und die Katze nicht", "de")], "text string, lang string")
+    langs, p = language_id.train(table)
+    assert langs == ["de", "en"]
+    assert np.allclose(p, language_id.train(once)[1], rtol=1e-9)
+
+
 def test_toxicity(spark, docs, empty):
     d = "/root/testdata/sf0.01"
     table, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
