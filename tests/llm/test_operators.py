@@ -91,6 +91,28 @@ def test_pii_base_spans(spark, docs, empty):
     assert clean[None] == "mail <EMAIL>, call <PHONE> or 10.0.0.256 <IP>, <CARD>" and clean[5] is None and clean[4] == ""
 
 
+PLANTED = {
+    "secret": ["use 9fK2mQ7xLw4Zt8Bv3Nc6Yp1R here", "with 5d8c0a7be14f92c36d0b8e7a51f4c29d now", 'api key: "Zk81mVq0Lr72TxB9cWn4"'],
+    "number": ["call 0301 2345 6789 today", "phone (212) 555-0199 x", "fax: 089 1234 5678 bitte"],
+    "handle": ["joe [at] example [dot] com", "write to ann.lee(at)mail(dot)org please", "contact: max [at] firma [dot] de"],
+    "account": ["IBAN DE89 3704 0044 0532 0130 00 bitte", "pay NL91ABNA0417164300 now", "account FR14 2004 1010 0505 0001 3M02 606 x"],
+}
+PLAIN = ["look (at) this. But no", "order 4111111111111112 came", "the state-of-the-art-report-2024 is", "part AB12 3456 7890 fits", "on 2024-01-15 at"]
+
+
+def test_pii_added_by_generator(spark):
+    assert not {t for own in PLANTED.values() for t in own} & set(pii.SEEDS)
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = [(kind, t) for kind, own in PLANTED.items() for t in own] + [("none", t) for t in PLAIN]
+    found = {kind: 0 for kind in PLANTED}
+    for r in pii.find(spark.createDataFrame(rows, "kind string, text string"), model).collect():
+        if r.kind == "none":
+            assert not r.pii_added, r
+        else:
+            found[r.kind] += r.kind in {s.kind for s in r.pii_added}
+    assert min(found.values()) >= 2, found
+
+
 def test_language_id(spark, docs, empty):
     model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
