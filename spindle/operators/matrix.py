@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys of one window of a scan: bounds the rows that a task orders at once.
+from .order import numbered
+
+#: Rows of one window of a scan, and columns of one array of a row: bounds what a task holds at once.
 ROW_BLOCK, COLUMN_BLOCK = 4096, 1 << 16
 
 
@@ -47,39 +49,41 @@ def row_pointers(coo: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def ordinals(coo: DataFrame) -> DataFrame:
-    """coo with k: its place (from 0) in the order of (i, j); coordinates distinct.
-
-    Windows hold one block of columns of one row, so that a dense row is split.
-    """
-    cut = coo.withColumn("_jb", F.expr(f"j div {COLUMN_BLOCK}"))
-    parts = cut.groupBy("i", "_jb").agg(F.count("*").alias("_n")).withColumn("_block", F.expr(f"i div {ROW_BLOCK}"))
-    offsets = _before(parts.groupBy("_block").agg(F.sum("_n").alias("_sum")), "_block", "_sum", "_offset")
-    own = Window.partitionBy("_block").orderBy("i", "_jb").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.join(offsets, "_block").withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_n").over(own), F.lit(0))).select("i", "_jb", "_start")
-    place = F.row_number().over(Window.partitionBy("i", "_jb").orderBy("j"))
-    return cut.withColumn("_at", place).join(starts, ["i", "_jb"]).select("i", "j", "v", (F.col("_start") + F.col("_at") - 1).alias("k"))
+    """coo with k: its place (from 0) in the order of (i, j). Dense rows are split, as any range of the order is."""
+    return numbered(coo.select("i", "j", "v"), ["i", "j"], "k")[0]
 
 
 def boundaries(coo: DataFrame) -> DataFrame:
     """i, j, new_row, new_col against the neighbour before in the order of (i, j), repeats included.
 
-    The first of equal coordinates is a new column, the first of a row a new
-    row; both follow from ranks inside the row, so rows need not meet.
+    Entries meet their neighbours by their places in the order, so that neither
+    a dense row nor an entry repeated many times is one task's.
     """
-    w = Window.partitionBy("i").orderBy("j")
-    before = F.lag("j").over(w)
-    return coo.select("i", "j", before.isNull().alias("new_row"), (before.isNull() | (before != F.col("j"))).alias("new_col"))
+    placed, _ = numbered(coo.select("i", "j"), ["i", "j"], "k")
+    before = placed.select((F.col("k") + 1).alias("k"), F.col("i").alias("_i"), F.col("j").alias("_j"))
+    own = placed.join(before, "k", "left").withColumn("new_row", F.col("_i").isNull() | (F.col("_i") != F.col("i")))
+    return own.select("i", "j", "new_row", (F.col("new_row") | (F.col("_j") != F.col("j"))).alias("new_col"))
 
 
 def nested_rows(coo: DataFrame) -> DataFrame:
-    """i, cols, vals of the non-empty rows, in column order."""
-    rows = coo.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("_e"))
-    return rows.select("i", F.col("_e.j").alias("cols"), F.col("_e.v").alias("vals"))
+    """i, block, cols, vals of the non-empty rows, in column order; a row has an array for each block of COLUMN_BLOCK columns."""
+    block = F.expr(f"j div {COLUMN_BLOCK}").alias("block")
+    rows = coo.groupBy("i", block).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("_e"))
+    return rows.select("i", "block", F.col("_e.j").alias("cols"), F.col("_e.v").alias("vals"))
 
 
 def mirrored(coo: DataFrame, symmetry: str) -> DataFrame:
-    """The full matrix of a stored triangle."""
+    """The full matrix of a stored triangle (i, j, v; complex: also im): hermitian halves are conjugates, skew ones negatives."""
     if symmetry == "general":
         return coo
     sign = -1.0 if symmetry == "skew-symmetric" else 1.0
-    return coo.unionByName(coo.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v")))
+    half = [(F.col("v") * sign).alias("v")]
+    if "im" in coo.columns:
+        half.append((F.col("im") * (sign if symmetry != "hermitian" else -1.0)).alias("im"))
+    return coo.unionByName(coo.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), *half))
+
+
+def uniform_vector(keys: DataFrame, seed: int = 0) -> DataFrame:
+    """j and x, uniform in [-1, 1): a hash of seed and j, so that any partitioning gives the same vector."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("j").cast("string")).cast("binary"))
+    return keys.select("j", (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 51) - 1).alias("x"))

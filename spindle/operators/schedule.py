@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import matrix
+from .order import numbered
 
 
 def static(i: str, n_rows: int, workers: int) -> Column:
@@ -44,11 +45,19 @@ def merge_items(n_rows: int, nnz: int, workers: int) -> int:
     return max(1, -(-(n_rows + nnz) // workers))
 
 
+def counted_domain(rows: DataFrame) -> int:
+    """Number of rows; their ids must be 0 to that number less 1, as places on the merge path are made of them."""
+    n, low, high, ids = rows.agg(F.count("i"), F.min("i"), F.max("i"), F.count("*")).first()
+    if ids and (n != ids or low != 0 or high != ids - 1):
+        raise ValueError(f"row ids of a merge path must be 0 to {ids - 1}, each once; found {low} to {high}")
+    return ids
+
+
 def merge_path(coo: DataFrame, rows: DataFrame, workers: int) -> DataFrame:
     """coo with part: entry k of row i stands at k + i on the merge path, cut into equal lengths."""
-    sizes = coo.agg(F.count("*").alias("z")).crossJoin(rows.agg(F.count("*").alias("r")))
-    items = sizes.select(F.greatest(F.lit(1), F.expr(f"(z + r + {workers - 1}) div {workers}")).alias("_items"))
-    return matrix.ordinals(coo).crossJoin(F.broadcast(items)).select("i", "j", "v", "k", F.expr("(k + i) div _items").alias("part"))
+    placed, nnz = numbered(coo.select("i", "j", "v"), ["i", "j"], "k")
+    items = merge_items(counted_domain(rows), nnz, workers)
+    return placed.select("i", "j", "v", "k", F.expr(f"(k + i) div {items}").alias("part"))
 
 
 def merge_coordinates(coo: DataFrame, rows: DataFrame, workers: int) -> DataFrame:
@@ -57,6 +66,7 @@ def merge_coordinates(coo: DataFrame, rows: DataFrame, workers: int) -> DataFram
     Row-end i stands at row_end + i; the rows of a diagonal are the row-ends
     before it, counted by share and added up over the shares.
     """
+    counted_domain(rows)
     ends = matrix.row_pointers(coo, rows).select((F.col("row_end") + F.col("i")).alias("e"))
     total = ends.agg(F.count("*").alias("r"), (F.coalesce(F.max("e"), F.lit(-1)) + 1).alias("t"))
     items = total.select("r", "t", F.greatest(F.lit(1), F.expr(f"(t + {workers - 1}) div {workers}")).alias("items"))

@@ -24,10 +24,11 @@ def multiply(coo: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def multiply_nested(coo: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
-    """Products gathered into the arrays of each row, then folded in column order."""
-    placed = coo.join(x, "j").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v", "x"))).alias("e"))
+    """Products gathered into the arrays of each row and block of columns, folded in column order, then added up by row."""
+    block = F.expr(f"j div {matrix.COLUMN_BLOCK}").alias("block")
+    placed = coo.join(x, "j").groupBy("i", block).agg(F.sort_array(F.collect_list(F.struct("j", "v", "x"))).alias("e"))
     fold = F.aggregate(F.zip_with(F.col("e.v"), F.col("e.x"), lambda v, w: v * w), F.lit(0.0), lambda a, p: a + p)
-    return completed(placed.select("i", fold.alias("y")), rows)
+    return completed(placed.select("i", fold.alias("s")).groupBy("i").agg(F.sum("s").alias("y")), rows)
 
 
 def multiply_merge(coo: DataFrame, x: DataFrame, rows: DataFrame, workers: int) -> DataFrame:
@@ -37,10 +38,12 @@ def multiply_merge(coo: DataFrame, x: DataFrame, rows: DataFrame, workers: int)
     return completed(partial.groupBy("i").agg(F.sum("s").alias("y")), rows)
 
 
-def multiply_dense(entries: DataFrame, x: DataFrame) -> DataFrame:
-    """Rows as arrays: no shuffle of the matrix; x is one array."""
-    return entries.crossJoin(F.broadcast(x)).select("i", F.aggregate(F.zip_with("a", "x", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p).alias("y"))
+def multiply_dense(rows: DataFrame, x: DataFrame, width: int) -> DataFrame:
+    """y of rows (i, a), a an array of `width` numbers: no shuffle of the matrix; the vector (j, x) is one array, missing j are 0.
 
-
-def as_matrix(entries: DataFrame) -> DataFrame:
-    return matrix.coalesced(entries)
+    The vector must fit into memory beside the rows, each of which is as long.
+    """
+    own = F.array_sort(F.collect_list(F.struct("j", "x")))
+    places = x.sparkSession.range(width).select(F.col("id").alias("j")).join(x, "j", "left").select("j", F.coalesce("x", F.lit(0.0)).alias("x"))
+    whole = places.agg(own.alias("_e")).select(F.col("_e.x").alias("_x"))
+    return rows.crossJoin(F.broadcast(whole)).select("i", F.aggregate(F.zip_with("a", "_x", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p).alias("y"))
