@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.functions.statistics import deviation, midpoint_percentile, short_number
+from spindle.functions.statistics import deviation, midpoint_percentile, percent, short_number
 
 GROUP = ["executable", "threads"]
 
@@ -33,21 +33,34 @@ def baseline(summary: DataFrame, name: str) -> DataFrame:
     return own.join(F.broadcast(first), "executable").agg(F.avg("p90").alias("baseline"))
 
 
-def efficiency(summary: DataFrame, name: str) -> DataFrame:
-    """Percent of ideal speed-up for all but the baseline executable, and the ideal line."""
+def relative(summary: DataFrame, name: str) -> DataFrame:
+    """Percent of ideal speed-up for all but the baseline executable."""
     base = baseline(summary, name)
     rest = summary.where(~F.lower("executable").contains(name.lower())).crossJoin(F.broadcast(base))
-    own = rest.select(*GROUP, (F.try_divide(F.col("baseline"), F.col("p90") * F.col("threads")) * 100).alias("efficiency"))
+    return rest.select(*GROUP, (F.try_divide(F.col("baseline"), F.col("p90") * F.col("threads")) * 100).alias("efficiency"))
+
+
+def efficiency(summary: DataFrame, name: str) -> DataFrame:
+    """The same, and the ideal line."""
     ideal = summary.select(F.lit("ideal").alias("executable"), "threads", F.lit(100.0).alias("efficiency")).distinct()
-    return own.unionByName(ideal)
+    return relative(summary, name).unionByName(ideal)
 
 
-def labels(summary: DataFrame) -> DataFrame:
-    """x (place of the thread count), y, rank among equal x, side and text of each label."""
+def _placed(summary: DataFrame, y: str) -> DataFrame:
+    """x (place of the thread count), y, its rank among equal x (equal y the same), and side of each label."""
     counts = summary.select("threads").distinct().select("threads", F.dense_rank().over(Window.orderBy("threads")).cast("long").alias("x"))
-    own = summary.join(F.broadcast(counts), "threads").withColumn("rank", F.rank().over(Window.partitionBy("x").orderBy("p90")).cast("long"))
-    side = F.when(F.col("rank") % 2 == 0, "left").otherwise("top")
-    return own.select("executable", "x", F.col("p90").alias("y"), "rank", side.alias("side"), short_number("p90").alias("label"))
+    own = summary.join(counts, "threads").withColumn("rank", F.rank().over(Window.partitionBy("x").orderBy(y)).cast("long"))
+    return own.select("executable", "x", F.col(y).alias("y"), "rank", F.when(F.col("rank") % 2 == 0, "left").otherwise("top").alias("side"))
+
+
+def labels(summary: DataFrame) -> DataFrame:
+    """Places and texts of the labels of times."""
+    return _placed(summary, "p90").withColumn("label", short_number("y"))
+
+
+def efficiency_labels(summary: DataFrame, name: str) -> DataFrame:
+    """Places and texts of the labels of efficiencies; the baseline and the ideal line have none."""
+    return _placed(relative(summary, name), "efficiency").withColumn("label", percent("y"))
 
 
 def heat(summary: DataFrame, threads: list[int]) -> DataFrame:

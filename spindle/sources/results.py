@@ -9,11 +9,17 @@ SCHEMA = "Executable string, Threads int, Run int, ChunkSize int, Time double"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """All result files under path, with matrix, testbench and whether the file is a chunked one."""
+    """All result files under path, with matrix, testbench and whether the file is a chunked one.
+
+    A file is x.csv, or a folder of that name with part files, in a folder named
+    as its testbench. No file at all raises FileNotFoundError.
+    """
     rows = spark.read.schema(SCHEMA).option("header", True).option("nullValue", "NA").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+    if not rows.inputFiles():
+        raise FileNotFoundError(f"no CSV file under {path}")
     file = F.col("_metadata.file_path")
-    name = F.regexp_extract(file, r"([^/]+)\.csv$", 1)
-    return rows.select("*", F.replace(name, F.lit("_chunked"), F.lit("")).alias("matrix"), F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("testbench"), name.endswith("_chunked").alias("chunked"))
+    parts = r"([^/]+)/([^/]+?)(_chunked)?\.csv(?:/part-[^/]*)?$"
+    return rows.select("*", F.regexp_extract(file, parts, 2).alias("matrix"), F.regexp_extract(file, parts, 1).alias("testbench"), (F.regexp_extract(file, parts, 3) != "").alias("chunked"))
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -21,5 +27,6 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def elapsed(line: str) -> Column:
-    """Seconds of a timing line, else null."""
-    return F.try_to_number(F.nullif(F.regexp_extract(line, r"Elapsed time: (\d+\.\d+)", 1), F.lit("")), F.lit("999999999.999999")).cast("double")
+    """Seconds of a timing line (its third word, in any notation of a number), else null."""
+    word = F.try_element_at(F.filter(F.split(line, r"\s+"), lambda w: w != ""), F.lit(3))
+    return F.when(F.col(line).contains("Elapsed time"), word.try_cast("double"))
