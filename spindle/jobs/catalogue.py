@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from spindle.jobs import analytics, sweep
 from spindle.operators import matrix, schedule, spmv, validate
-from spindle.sources import mtx, results
+from spindle.sources import mtx, results, scratch
 
 WORKERS, CHUNK = 8, 100
+#: Components of a row of embeddings.
+EMBEDDED = 64
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -99,8 +101,8 @@ def spmv_merge(spark, d):
 @query("SELECT vec_id AS i, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: CAST(embedding[k] AS DOUBLE) * (((k - 1) * 7 + 3) % 10))), 6) AS y FROM embeddings")
 def spmv_dense(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("a"))
-    y = F.aggregate(F.transform("a", lambda v, k: v * ((k * 7 + 3) % 10)), F.lit(0.0), lambda s, p: s + p)
-    return rows.select("i", F.round(y, 6).alias("y"))
+    x = spark.range(EMBEDDED).select(F.col("id").alias("j"), ((F.col("id") * 7 + 3) % 10).cast("double").alias("x"))
+    return spmv.multiply_dense(rows, x, EMBEDDED).withColumn("y", F.round("y", 6))
 
 
 @query(f"WITH {COO}, w AS (SELECT o_orderkey AS i, CAST((o_orderkey * 7 + 3) % 10 AS DOUBLE) AS x FROM orders) SELECT p_partkey AS j, coalesce(sum(v * x), 0.0) AS y FROM part LEFT JOIN coo ON p_partkey = j LEFT JOIN w USING (i) GROUP BY 1")
@@ -148,7 +150,8 @@ query(f"WITH {PTR}, o AS (SELECT i, j, v, CAST(row_number() OVER (ORDER BY i, j)
 @query(f"WITH {COO} SELECT i, count(*) AS n, min(j) AS first_col, max(j) AS last_col, sum(v) AS total FROM coo GROUP BY i")
 def csr_rows_nested(spark, d):
     rows = matrix.nested_rows(a_matrix(spark, d))
-    return rows.select("i", F.size("cols").cast("long").alias("n"), F.element_at("cols", 1).alias("first_col"), F.element_at("cols", -1).alias("last_col"), F.aggregate("vals", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    total = F.aggregate("vals", F.lit(0.0), lambda a, v: a + v)
+    return rows.groupBy("i").agg(F.sum(F.size("cols")).alias("n"), F.min(F.element_at("cols", 1)).alias("first_col"), F.max(F.element_at("cols", -1)).alias("last_col"), F.sum(total).alias("total"))
 
 
 def _part_query(name: str, column, sql: str) -> None:
@@ -224,14 +227,19 @@ def vec_gen(spark, d):
     return vector(spark, d)
 
 
-# each nation meets all combinations of a type's words
-_CASES = "SELECT CAST(n_nationkey AS BIGINT) AS k, f, d, s FROM nation, unnest(['coordinate', 'array']) a(f), unnest(['real', 'complex', 'pattern', 'integer']) b(d), unnest(['general', 'symmetric', 'hermitian', 'skew-symmetric']) c(s)"
+@query("SELECT p_partkey AS j, CAST(('0x' || substr(md5('0:' || CAST(p_partkey AS VARCHAR)), 1, 13)) AS BIGINT) / CAST(2251799813685248 AS DOUBLE) - 1 AS x FROM part")
+def vec_gen_uniform(spark, d):
+    return matrix.uniform_vector(table(spark, d, "part").select(F.col("p_partkey").alias("j")))
+
+
+# the words of a type follow from the key of an order
+_WORDS = {"f": (mtx.FORMATS, 1), "d": (mtx.FIELDS, 2), "s": (mtx.SYMMETRIES, 8)}
+_CASES = "SELECT o_orderkey AS k, " + ", ".join(f"(['{"', '".join(w)}'])[1 + (o_orderkey // {div}) % {len(w)}] AS {name}" for name, (w, div) in _WORDS.items()) + " FROM orders"
 
 
 def _codes(spark, d):
-    words = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
-    keys = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    return keys.select("k", words("f", mtx.FORMATS)).select("*", words("d", mtx.FIELDS)).select("*", words("s", mtx.SYMMETRIES))
+    word = lambda words, div: F.get(F.array(*map(F.lit, words)), F.expr(f"o_orderkey div {div} % {len(words)}"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), *(word(*w).alias(name) for name, w in _WORDS.items()))
 
 
 @query(f"SELECT k, f, d, s, NOT ((f = 'array' AND d = 'pattern') OR (d = 'real' AND s = 'hermitian') OR (d = 'pattern' AND s IN ('hermitian', 'skew-symmetric'))) AS valid FROM ({_CASES})")
@@ -251,19 +259,39 @@ def mm_type_flags(spark, d):
     return _codes(spark, d).select("k", "f", "d", "s", *(F.expr(flags[n]).alias(n) for n in order))
 
 
+@query(f"""SELECT k, CAST(CASE k % 5 WHEN 1 THEN 12 WHEN 2 THEN 14 WHEN 3 THEN 15 ELSE 0 END AS INTEGER) AS code,
+CASE WHEN k % 5 IN (0, 4) THEN f END AS format, CASE WHEN k % 5 IN (0, 4) THEN d END AS field, CASE WHEN k % 5 IN (0, 4) THEN s END AS symmetry FROM ({_CASES})""")
+def mm_banner(spark, d):
+    """Of five banners in a row one lacks a word, one begins wrongly, one is of no known type, and one is in capitals with tabs."""
+    c = lambda *parts: F.concat_ws(" ", *(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    f, w, s = F.col("f"), F.col("d"), F.col("s")
+    line = (
+        F.when(F.expr("k % 5 = 1"), c(mtx.BANNER, "matrix", f, w)).when(F.expr("k % 5 = 2"), c("%MatrixMarket", "matrix", f, w, s))
+        .when(F.expr("k % 5 = 3"), c(mtx.BANNER, "matrix", f, "quaternion", s)).when(F.expr("k % 5 = 4"), F.concat_ws("\t", F.lit(mtx.BANNER), F.upper(F.lit("matrix")), F.upper(f), F.upper(w), F.upper(s)))
+        .otherwise(c(mtx.BANNER, "matrix", f, w, s))
+    )
+    return _codes(spark, d).select("k", mtx.banner_columns(line).alias("b")).select("k", "b.code", "b.format", "b.field", "b.symmetry")
+
+
 def _written(spark, d) -> str:
     """The matrix as Matrix Market text in the scratch folder that the cluster shares."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/mtx-{uuid.uuid4().hex}"
+    path = scratch.folder(spark)
     coo = a_matrix(spark, d)
     nnz, rows, cols = coo.count(), n_rows(spark, d), table(spark, d, "part").count()
     mtx.write(coo, path, mtx.Meta("coordinate", "integer", "general", rows, cols, nnz))
     return path
 
 
+def _typed(spark, head: str, body: DataFrame) -> str:
+    """A file with comments, a blank line, tabs and white space, and a surplus entry: lines by their key `at`."""
+    path = scratch.folder(spark)
+    first = spark.createDataFrame([(-1, head)], "at long, value string")
+    last = spark.createDataFrame([(1 << 62, "1 1 77")], "at long, value string")
+    spaced = body.select("at", F.when(F.col("at") % 3 == 0, F.concat(F.lit("\t "), F.replace("value", F.lit(" "), F.lit("\t")), F.lit(" "))).otherwise(F.col("value")).alias("value"))
+    first.union(spaced).union(last).repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
 @query(f"WITH {COO} SELECT 'coordinate' AS format, 'integer' AS field, 'general' AS symmetry, (SELECT count(*) FROM orders) AS n_rows, (SELECT count(*) FROM part) AS n_cols, (SELECT count(*) FROM coo) AS nnz")
 def mm_size(spark, d):
     meta = mtx.header(spark, _written(spark, d))[0]
@@ -280,6 +308,77 @@ def mm_coo_zero_based(spark, d):
     return mtx.read(spark, _written(spark, d))[1]
 
 
+def _dense(spark, d) -> str:
+    """The embeddings as a dense array: a column for each vector, as arrays are written by columns."""
+    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("j"), F.posexplode("embedding").alias("i", "v")).select("i", "j", F.col("v").cast("double").alias("v"))
+    path = scratch.folder(spark)
+    mtx.write(cells, path, mtx.Meta("array", "real", "general", EMBEDDED, table(spark, d, "embeddings").count(), 0))
+    return path
+
+
+@query(f"SELECT 'array' AS format, CAST({EMBEDDED} AS BIGINT) AS n_rows, count(*) AS n_cols, {EMBEDDED} * count(*) AS cells FROM embeddings")
+def mm_array_size(spark, d):
+    meta = mtx.header(spark, _dense(spark, d))[0]
+    return spark.createDataFrame([(meta.format, meta.n_rows, meta.n_cols, meta.nnz)], "format string, n_rows long, n_cols long, cells long")
+
+
+@query("SELECT CAST(unnest(range(0, len(embedding))) AS BIGINT) AS i, vec_id AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings")
+def mm_array(spark, d):
+    return mtx.read(spark, _dense(spark, d))[1]
+
+
+# the lower triangle: of each coordinate the greater number first
+LOWER = "low AS (SELECT greatest(i, j) AS i, least(i, j) AS j, sum(v) AS v FROM coo GROUP BY 1, 2)"
+
+
+def _lower(spark, d) -> DataFrame:
+    return entries(spark, d).select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j"), "v").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def _triangle(spark, d, kind: str, value: list) -> str:
+    low = _lower(spark, d)
+    size = n_rows(spark, d)
+    at = (F.col("i") * size + F.col("j")).alias("at")
+    body = low.select(at, F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), *value).alias("value"))
+    return _typed(spark, f"{mtx.BANNER} matrix coordinate {kind}\n% a comment\n%\n\n{size} {size} {low.count()}", body)
+
+
+@query(f"WITH {COO}, {LOWER} SELECT i, j, v FROM low UNION ALL SELECT j, i, v FROM low WHERE i <> j")
+def mm_symmetric(spark, d):
+    return mtx.read(spark, _triangle(spark, d, "real symmetric", [F.col("v").cast("string")]), expand_symmetry=True)[1]
+
+
+@query(f"WITH {COO}, {LOWER} SELECT i, j, 1.0::DOUBLE AS v FROM low")
+def mm_pattern(spark, d):
+    return mtx.read(spark, _triangle(spark, d, "pattern symmetric", []))[1]
+
+
+@query(f"WITH {COO}, {LOWER} SELECT i, j, v, v + 0.5 AS im FROM low UNION ALL SELECT j, i, v, -(v + 0.5) FROM low WHERE i <> j")
+def mm_hermitian(spark, d):
+    return mtx.read(spark, _triangle(spark, d, "complex hermitian", [F.col("v").cast("string"), (F.col("v") + 0.5).cast("string")]), expand_symmetry=True)[1]
+
+
+RESULTS = "SELECT event_id, user_id, ts, 'spmv_' || lower(event_type) AS \"Executable\", CAST(user_id % 8 + 1 AS INTEGER) AS \"Threads\", CAST(event_id % 10 + 1 AS INTEGER) AS \"Run\", CAST(10 * (event_id % 3 + 1) AS INTEGER) AS c, value AS \"Time\" FROM events"
+
+
+@query(f"""WITH r AS ({RESULTS}) SELECT "Executable", "Threads", "Run", CASE WHEN event_id % 4 >= 2 THEN c END AS "ChunkSize", "Time", CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd_one' END AS matrix,
+CASE WHEN event_id % 2 = 0 THEN 'TESTBENCH2_RES' ELSE 'TESTBENCH3_RES' END AS testbench, event_id % 4 >= 2 AS chunked FROM r""")
+def results_scan(spark, d):
+    """Written as result files of two testbenches, two matrices, plain and chunked, then scanned."""
+    path = scratch.folder(spark)
+    e = table(spark, d, "events")
+    rows = e.select(
+        "event_id", "user_id", F.concat(F.lit("spmv_"), F.lower("event_type")).alias("Executable"), (F.col("user_id") % 8 + 1).cast("int").alias("Threads"), (F.col("event_id") % 10 + 1).cast("int").alias("Run"),
+        F.when(F.col("event_id") % 4 >= 2, (10 * (F.col("event_id") % 3 + 1)).cast("int")).alias("ChunkSize"), F.col("value").alias("Time"),
+    )
+    for bench in (0, 1):
+        for odd, name in enumerate(("even", "odd_one")):
+            for chunked in (False, True):
+                own = rows.where((F.col("event_id") % 4 == bench + 2 * chunked) & (F.col("user_id") % 2 == odd)).drop("event_id", "user_id")
+                results.append(own, f"{path}/TESTBENCH{bench + 2}_RES/{name}{'_chunked' * chunked}.csv")
+    return results.scan(spark, path)
+
+
 @query("SELECT event_type AS executable, count(*) AS n, CAST(count(DISTINCT user_id % 4) AS BIGINT) AS n_threads FROM events GROUP BY 1")
 def bench_dims(spark, d):
     return timings(spark, d).groupBy("executable").agg(F.count("*").alias("n"), F.count_distinct("threads").alias("n_threads"))
@@ -330,6 +429,13 @@ def bench_labels(spark, d):
     return analytics.labels(analytics.p90(timings(spark, d))).withColumn("y", F.round("y", 6))
 
 
+@query(f"""WITH {P90}, b AS (SELECT avg(p90) AS b FROM p WHERE executable = (SELECT min(executable) FROM p WHERE lower(executable) LIKE '%click%')),
+e AS (SELECT executable, threads, b / (p90 * threads) * 100 AS y FROM p, b WHERE lower(executable) NOT LIKE '%click%'), x AS (SELECT *, dense_rank() OVER (ORDER BY threads) AS x FROM e), r AS (SELECT *, rank() OVER (PARTITION BY x ORDER BY y) AS rank FROM x)
+SELECT executable, x, round(y, 6) AS y, rank, CASE WHEN rank % 2 = 0 THEN 'left' ELSE 'top' END AS side, printf('%.1f', y) || '%' AS label FROM r""")
+def bench_efficiency_labels(spark, d):
+    return analytics.efficiency_labels(analytics.p90(timings(spark, d)), BASE).withColumn("y", F.round("y", 6))
+
+
 @query(f"WITH {P90}, {p90_sql('executable, threads, chunk', 'c')} SELECT 'default' AS bench, executable, threads, CAST(NULL AS BIGINT) AS chunk, round(p90, 6) AS p90 FROM p UNION ALL SELECT 'chunked', executable, threads, chunk, round(p90, 6) FROM c")
 def bench_union(spark, d):
     t = timings(spark, d)
@@ -349,19 +455,24 @@ def heat_bins(spark, d):
     return analytics.bins(analytics.chunk_p90(timings(spark, d)))
 
 
-@query("""WITH e AS (SELECT DISTINCT CASE WHEN n_nationkey % 4 = 0 THEN 'runtime_static' WHEN n_nationkey % 4 = 1 THEN 'runtime_dynamic' WHEN n_nationkey % 4 = 2 THEN 'runtime_guided' ELSE 'merge' END AS executable FROM nation),
+@query("""WITH e AS (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'runtime_static' WHEN 1 THEN 'runtime_dynamic' WHEN 2 THEN 'runtime_guided' ELSE 'merge' END AS executable FROM orders),
 k AS (SELECT executable, CASE executable WHEN 'runtime_static' THEN 'static' WHEN 'runtime_dynamic' THEN 'dynamic' WHEN 'runtime_guided' THEN 'guided' END AS schedule FROM e)
-SELECT r_name AS matrix, executable, CAST(t AS BIGINT) AS threads, CAST(run AS BIGINT) AS run, CAST(CASE WHEN schedule IS NULL THEN NULL ELSE chunk END AS BIGINT) AS chunk, schedule
-FROM region, k, unnest([1, 2, 4, 8]) a(t), range(1, 4) b(run), unnest([10, 100, 1000, 10000]) c(chunk) WHERE schedule IS NOT NULL OR chunk = 10""")
+SELECT s_name AS matrix, executable, CAST(t AS BIGINT) AS threads, CAST(run AS BIGINT) AS run, CAST(CASE WHEN schedule IS NULL THEN NULL ELSE chunk END AS BIGINT) AS chunk, schedule
+FROM supplier, k, unnest([1, 2, 4, 8]) a(t), range(1, 4) b(run), unnest([10, 100, 1000, 10000]) c(chunk) WHERE schedule IS NOT NULL OR chunk = 10""")
 def sweep_plan(spark, d):
-    kind = F.expr("CASE n_nationkey % 4 WHEN 0 THEN 'runtime_static' WHEN 1 THEN 'runtime_dynamic' WHEN 2 THEN 'runtime_guided' ELSE 'merge' END")
-    executables = table(spark, d, "nation").select(kind.alias("executable")).distinct()
-    matrices = table(spark, d, "region").select(F.col("r_name").alias("matrix"))
+    """A matrix for each supplier."""
+    kind = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'runtime_static' WHEN 1 THEN 'runtime_dynamic' WHEN 2 THEN 'runtime_guided' ELSE 'merge' END")
+    executables = table(spark, d, "orders").select(kind.alias("executable")).distinct()
+    matrices = table(spark, d, "supplier").select(F.col("s_name").alias("matrix"))
     numbers = lambda name, values: spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("long") for v in values))).alias(name))
     return sweep.plan(matrices, executables, numbers("threads", (1, 2, 4, 8)), numbers("run", (1, 2, 3)), numbers("chunk", (10, 100, 1000, 10000)))
 
 
-@query("SELECT event_id, TRY_CAST(nullif(regexp_extract('Elapsed time: ' || printf('%.6f', value) || ' seconds', 'Elapsed time: (\\d+\\.\\d+)', 1), '') AS DOUBLE) AS seconds FROM events")
+# the notations in which programs print seconds, and lines that are no timing
+_LINE = "CASE event_id % 4 WHEN 0 THEN 'Elapsed time: ' || {six} || ' seconds' WHEN 1 THEN 'Elapsed time: ' || {e} || ' seconds' WHEN 2 THEN '  Elapsed time: ' || {whole} ELSE 'run ' || {whole} || ' 3 done' END"
+
+
+@query("WITH l AS (SELECT event_id, " + _LINE.format(six="printf('%.6f', value)", e="printf('%.5e', value / 1e6)", whole="CAST(event_id AS VARCHAR)") + " AS line FROM events) SELECT event_id, CASE WHEN contains(line, 'Elapsed time') THEN TRY_CAST(regexp_extract(line, '^\\s*\\S+\\s+\\S+\\s+(\\S+)', 1) AS DOUBLE) END AS seconds FROM l")
 def parse_elapsed(spark, d):
-    log = table(spark, d, "events").select("event_id", F.format_string("Elapsed time: %.6f seconds", "value").alias("line"))
-    return log.select("event_id", results.elapsed("line").alias("seconds"))
+    line = F.expr(_LINE.format(six="format_string('%.6f', value)", e="format_string('%.5e', value / 1e6D)", whole="CAST(event_id AS STRING)"))
+    return table(spark, d, "events").select("event_id", line.alias("line")).select("event_id", results.elapsed("line").alias("seconds"))
