@@ -6,17 +6,19 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch. With long texts a batch of the default size could
-#: outgrow a Python worker, so operators that move texts use this many.
-BATCH_ROWS = "256"
+from spindle.sources.scratch import dropped, saved  # noqa: F401
+
+#: Rows and bytes of the slices in which tasks take an Arrow batch. Spark bounds the
+#: batch itself (64 MB unless set otherwise); a session's own settings are left alone.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 _shipped: set[str] = set()
 
 
@@ -25,8 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Ship this package to the executors once per application; small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Ship this package to the executors once per application."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -44,41 +45,45 @@ def ready(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir (a local one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "spindle-scratch")
-    return f"{base.rstrip('/')}/spindle-{uuid.uuid4().hex}"
+def private(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores put before it until no column of df has it in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def saved(df: DataFrame, compact: int | None = None) -> DataFrame:
-    """Cut lineage: write df as a table in the shared scratch folder and read it again."""
-    path = scratch_dir(df.sparkSession)
-    (df.coalesce(compact) if compact else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns, so that extra columns cannot clash with the operator's own."""
-    return df.select(*(F.col(f"`{c}`") for c in columns))
-
+    return df.select(*map(quoted, columns))
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; it may return a dict of columns."""
 
-    ready(df.sparkSession)
-    return map_batches_plain(df, fn, schema)
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most SLICE_ROWS rows and about SLICE_BYTES (one row at least)."""
+    step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for k in range(0, batch.num_rows, step):
+        yield batch.slice(k, step)
 
 
-def map_batches_plain(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
-    """The same, with the session's batch size as it is."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str | StructType, whole: bool = False) -> DataFrame:
+    """mapInArrow with a function of one slice (or whole batch); it may return a dict of columns."""
+    ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = fn(b)
-                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        for batch in batches:
+            for b in [batch] if whole else slices(batch):
+                if b.num_rows:
+                    out = fn(b)
+                    yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
     return df.mapInArrow(run, schema)
 

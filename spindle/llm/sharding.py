@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindle.operators.order import numbered
+
 from . import common
 
 ROUNDS = 6
@@ -58,31 +60,11 @@ def permute(numbers: np.ndarray, n: int, seed: int, inverse: bool = False) -> np
     return out.astype(np.int64)
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> tuple[DataFrame, int]:
-    """Gapless global row numbers in the given order, and the number of rows.
-
-    A range shuffle sorts the rows; Spark's own id then holds partition and
-    place; the count of each partition (as many as there are partitions) goes
-    to the driver for the offsets. Rows equal in all of `order` are told apart
-    by their place in the input, so a hot value spreads over partitions.
-    """
-    spark = df.sparkSession
-    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-    placed = common.saved(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect())
-    offsets, n = {}, 0
-    for p, c in counts:
-        offsets[p] = n
-        n += c
-    rows = spark.createDataFrame([(p, o) for p, o in offsets.items()] or [(0, 0)], "_part long, _offset long")
-    out = placed.withColumn("_part", part).withColumn("_place", place).join(F.broadcast(rows), "_part")
-    return out.withColumn(name, F.col("_offset") + F.col("_place")).drop("_at", "_part", "_place", "_offset"), n
-
-
 def sharded(df: DataFrame, n_shards: int, order: list[str], seed: int) -> DataFrame:
     """df with shard and slot by the law `rows`; see shard_documents()."""
-    rows, n = numbered(df, order)
+    saved = common.saved(df)  # the range shuffle reads it twice, once for its sample
+    rows, n = numbered(saved, order)
+    common.dropped(saved)
 
     @F.pandas_udf("long")
     def permuted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -90,7 +72,6 @@ def sharded(df: DataFrame, n_shards: int, order: list[str], seed: int) -> DataFr
             yield pd.Series(permute(b.to_numpy(), n, seed))
 
     common.ready(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     p: Column = F.col("_p")
     return rows.withColumn("_p", permuted("row_no")).withColumn("shard", (p % n_shards).cast("int")).withColumn("slot", F.expr(f"_p div {n_shards}")).drop("_p")
 
@@ -104,10 +85,10 @@ def shard_documents(df: DataFrame, n_shards: int = 40, seed: int = 20_240_601, i
     the same table always gives the same shards up to rows that look alike.
     Only id, size and checksum are shuffled. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = sharded(rows, n_shards, [f"`{id_col}`", "size", "text_crc32"], seed)
-    return out.select(F.col(f"`{id_col}`"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
+    text = F.coalesce(common.quoted(text_col), F.lit(""))
+    rows = df.select(common.quoted(id_col).alias("_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharded(rows, n_shards, ["_id", "size", "text_crc32"], seed)
+    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 MARK = "▁"
-#: A worker remembers the last one to two times so many distinct segments. Bounds memory only.
-REMEMBERED = 250_000
+#: A worker remembers the distinct segments of the last one to two times so many bytes. Bounds memory only.
+REMEMBERED = 32 << 20
 _SEGMENTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -39,6 +39,7 @@ class SegmentCounts(dict):
         self.rank = {sp.id_to_piece(i): place[sp.get_score(i)] for i in plain}
         self.singles = {p for p in self.rank if len(p) == 1}
         self.older: dict[str, int] = {}
+        self.held = 0
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.rank):
             raise ValueError("a piece of this model reaches across words or lines")
 
@@ -46,9 +47,11 @@ class SegmentCounts(dict):
         n = self.older.get(segment)
         if n is None:
             n = self.merged(segment)
-        if len(self) >= REMEMBERED:
+        if self.held >= REMEMBERED:
             self.older = dict(self)
             self.clear()
+            self.held = 0
+        self.held += 2 * len(segment) + 130
         self[segment] = n
         return n
 
