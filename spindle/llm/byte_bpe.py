@@ -4,7 +4,10 @@ The distinct pre-tokens of a batch that are not ids by themselves are laid out
 as matrices of symbol ids, one matrix for each length bucket, padded at the
 right. In each round every row merges its leftmost pair of minimum rank; pairs
 are looked up in an open-addressing hash table, and rows are compacted by
-shifting what stands right of the merge. Finished rows leave the matrix.
+shifting what stands right of the merge. Finished rows leave the matrix. A
+pre-token of more than WIDTH bytes fills several rows of a matrix of its own: the
+round's pair is the leftmost minimum over these rows, pairs reach across their
+ends, and only the rows that a merge touches are compacted.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from . import common
 NONE = np.int32(2**31 - 1)
 #: Cells of one matrix at most; longer buckets are cut into several matrices.
 CELLS = 1 << 20
-#: Rows longer than this merge every occurrence of the best pair in a round,
-#: wherever that provably equals merging them one after the other.
-LONG = 2048
-REMEMBERED = 200_000
+#: Symbols of one row at most.
+WIDTH = 1024
+#: Bytes of remembered pre-tokens and ids beyond which a worker starts afresh.
+REMEMBERED = 64 << 20
 
 
 class PairTable:
@@ -66,6 +69,15 @@ class PairTable:
             slot[todo] = (slot[todo] + 1) & int(self.mask)
         return out.reshape(key.shape)
 
+    def one(self, left: int, right: int) -> int:
+        key = (left << 32) | right
+        at = ((key * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - self.bits)
+        while (found := self.keys.item(at)) != key:
+            if found == -1:
+                return int(NONE)
+            at = (at + 1) & int(self.mask)
+        return self.values.item(at)
+
 
 class ByteBPE:
     """The merges of a rank file, and what this worker has already encoded."""
@@ -86,16 +98,19 @@ class ByteBPE:
                     pairs[(a << 32) | b] = i
         self.pair = PairTable(pairs)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self.split.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         known = self.known
         new = {p for own in pieces for p in own if p not in known}
         if new:
             self._learn(new)
+            self.held += sum(len(p) + len(known[p]) + 150 for p in new)
         return [b"".join(map(known.__getitem__, own)) for own in pieces]
 
     def decode(self, ids: bytes) -> bytes:
@@ -112,9 +127,9 @@ class ByteBPE:
                 buckets.setdefault(max(2, (len(raw) - 1).bit_length()), []).append((p, raw))
         for bits, rows in buckets.items():
             width = 1 << bits
-            if width > LONG:
+            if width > WIDTH:
                 for p, raw in rows:
-                    self.known[p] = self._long(raw).astype("<u4").tobytes()
+                    self.known[p] = self._in_rows(raw)
                 continue
             step = max(1, CELLS // width)
             for k in range(0, len(rows), step):
@@ -160,42 +175,49 @@ class ByteBPE:
     def _pairs(self, ids: np.ndarray) -> np.ndarray:
         return self.pair(ids[:, :-1], ids[:, 1:])
 
-    def _long(self, raw: bytes) -> np.ndarray:
-        """One long row: all non-overlapping occurrences of the best pair at once.
-
-        Left to right, each merge makes the pairs (merged left neighbour, new)
-        and (new, right neighbour as it still is). If none of these ranks below
-        the present pair, the others would be next anyway; else one merge only.
-        """
-        ids = self.byte_id[np.frombuffer(raw, np.uint8)]
-        best = self.pair(ids[:-1], ids[1:])
-        while len(ids) > 1 and (r := best.min()) != NONE:
-            at = np.nonzero(best == r)[0]
-            if len(at) > 1:
-                # of overlapping occurrences every second one counts, from the left
-                run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
-                first = at[np.concatenate([[0], np.nonzero(np.diff(run))[0] + 1])]
-                at = at[(at - first[run]) % 2 == 0]
-            taken = self._merge(ids, at, r)
-            if len(at) > 1:
-                after = ids[np.minimum(at + 2, len(ids) - 1)]
-                fresh = np.full(len(at), r, np.int32)
-                new_at = at - np.arange(len(at))
-                before = taken[np.maximum(new_at - 1, 0)]
-                low = min(self.pair(fresh, after)[at + 2 < len(ids)].min(initial=NONE), self.pair(before, fresh)[new_at > 0].min(initial=NONE))
-                if low < r:
-                    taken = self._merge(ids, at[:1], r)
-            ids = taken
-            best = self.pair(ids[:-1], ids[1:])
-        return ids
-
-    @staticmethod
-    def _merge(ids: np.ndarray, at: np.ndarray, r: int) -> np.ndarray:
-        out = ids.copy()
-        out[at] = r
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        return out[keep]
+    def _in_rows(self, raw: bytes) -> bytes:
+        """One pre-token over several rows: the leftmost pair of minimum rank each round, as in _matrix()."""
+        n, rows = len(raw), -(-len(raw) // WIDTH)
+        ids, best = np.full(rows * WIDTH, -1, np.int32), np.full(rows * WIDTH, NONE, np.int32)
+        ids[:n] = self.byte_id[np.frombuffer(raw, np.uint8)]
+        best[: n - 1] = self.pair(ids[: n - 1], ids[1:n])
+        ids, best = ids.reshape(rows, WIDTH), best.reshape(rows, WIDTH)
+        size = [WIDTH] * (rows - 1) + [n - (rows - 1) * WIDTH]
+        before, after = list(range(-1, rows - 1)), list(range(1, rows + 1))  # of the rows that are not empty
+        low = best.min(1)
+
+        def drop(row: int, at: int) -> None:
+            """Compaction: what stands right of `at` moves one to the left."""
+            last = size[row] - 1
+            ids[row, at:last], best[row, at:last] = ids[row, at + 1 : last + 1], best[row, at + 1 : last + 1]
+            ids[row, last], best[row, last], size[row] = -1, NONE, last
+
+        while True:
+            row = int(low.argmin())
+            rank = int(low[row])
+            if rank == NONE:
+                return ids[ids >= 0].astype("<u4").tobytes()
+            at = int(best[row].argmin())
+            if at + 1 < size[row]:
+                drop(row, at + 1)
+            else:
+                other = after[row]
+                drop(other, 0)
+                low[other] = best[other].min()
+                if not size[other]:
+                    after[row] = after[other]
+                    if after[other] < rows:
+                        before[after[other]] = row
+            ids[row, at] = rank
+            right = ids.item(row, at + 1) if at + 1 < size[row] else ids.item(after[row], 0) if after[row] < rows else -1
+            best[row, at] = self.pair.one(rank, right) if right >= 0 else NONE
+            if at:
+                best[row, at - 1] = self.pair.one(ids.item(row, at - 1), rank)
+            elif (left := before[row]) >= 0:
+                end = size[left] - 1
+                best[left, end] = self.pair.one(ids.item(left, end), rank)
+                low[left] = best[left].min()
+            low[row] = best[row].min()
 
 
 @lru_cache(maxsize=2)
@@ -209,7 +231,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """ids array<int> and decoded binary of every whole text; map only.
 
     A null text counts as empty (no ids). Null ids and repeated rows pass
-    through; other columns are not read; an empty table gives an empty result.
+    through; very long texts are encoded whole; ties go to the leftmost pair;
+    other columns are not read, so none can clash; an empty table gives no rows.
     """
     place = common.vocabulary("byte_bpe_50k.tiktoken", path)
     kind = df.schema[id_col].dataType.simpleString()
