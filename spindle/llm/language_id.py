@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,13 @@ from . import common
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words longer than this are scored in parts of this many characters; nothing is cut off.
-PART = 24
+#: Characters of the words that are scored at once, and after how many the forward sums are scaled.
+AT_ONCE, SCALED = 1 << 17, 8
 #: A character that no piece covers.
 UNKNOWN = 1e-7
 SMOOTH = 0.05
-REMEMBERED = 200_000
+#: Bytes of remembered words beyond which a worker starts afresh.
+REMEMBERED = 64 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -72,48 +75,61 @@ class Pieces:
             wrong = wrong[(out[wrong] >= 0) & (self.key[slot[wrong]] != keys[wrong])]
         return out
 
-    def lattice(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, pieces) of every piece in words of equal length; piece -1: an unknown character."""
+    def lattice(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces) of every piece in words of equal length, by end; piece -1: an unknown character."""
         n, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).astype(np.uint64)
         prefix = np.zeros((size + 1, n), np.uint64)
         for k in range(size):
             prefix[k + 1] = prefix[k] * _BASE + codes[:, k]
-        power = [np.uint64(1)]
-        for _ in range(size):
-            power.append(np.uint64((int(power[-1]) * int(_BASE)) & ((1 << 64) - 1)))
-        out = []
+        found, power = [], 1
+        for length in range(1, min(self.longest, size) + 1):
+            power = (power * int(_BASE)) & ((1 << 64) - 1)
+            own = self.find((prefix[length:] - prefix[:-length] * np.uint64(power)).ravel()).reshape(-1, n)
+            found.append((own, (own >= 0).any(1).tolist()))
+        every = np.arange(n)
         for end in range(1, size + 1):
-            for start in range(max(0, end - self.longest), end):
-                found = self.find(prefix[end] - prefix[start] * power[end - start])
-                rows = np.arange(n) if end - start == 1 else np.nonzero(found >= 0)[0]
-                if len(rows):
-                    out.append((start, end, rows, found[rows]))
-        return out
+            for length in range(min(len(found), end), 0, -1):
+                own, any_ = found[length - 1]
+                start = end - length
+                if length == 1:
+                    yield start, end, every, own[start]
+                elif any_[start]:
+                    rows = np.flatnonzero(own[start] >= 0)
+                    yield start, end, rows, own[start][rows]
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """Probability of each word (of equal length) under each column of p; p's last row is the unknown character's."""
-        alpha = np.zeros((len(words[0]) + 1, len(words), p.shape[1]))
+        """Log probability of each word (of equal length) under each column of p; p's last row is the unknown character's."""
+        alpha, log = np.zeros((len(words[0]) + 1, len(words), p.shape[1])), np.zeros((len(words), p.shape[1]))
         alpha[0] = 1
         for start, end, rows, piece in self.lattice(words):
             alpha[end][rows] += alpha[start][rows] * p[piece]
-        return alpha[-1]
+            if end - start == 1 and end % SCALED == 0:  # the last piece that ends here: scaled, long words don't underflow
+                by = alpha[end].copy()
+                alpha[max(0, end + 1 - self.longest) : end + 1] /= by
+                log += np.log(by)
+        return log + np.log(alpha[-1])
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected pieces of these words (of equal length), each so many times, from equal probabilities."""
         size, p = len(words[0]), np.append(np.full(len(self.names), 1 / len(self.names)), UNKNOWN)
-        edges = self.lattice(words)
+        edges = list(self.lattice(words))
+        # logarithms, each summed relative to its neighbour's: long words don't underflow
         alpha, beta = np.zeros((size + 1, len(words))), np.zeros((size + 1, len(words)))
-        alpha[0] = beta[size] = 1
-        for start, end, rows, piece in edges:
-            alpha[end][rows] += alpha[start][rows] * p[piece]
-        for start, end, rows, piece in sorted(edges, key=lambda e: -e[0]):
-            beta[start][rows] += beta[end][rows] * p[piece]
-        total = np.zeros(len(self.names) + 1)
-        scale = counts / alpha[size]
+        for end, own in groupby(edges, key=lambda e: e[1]):
+            total = np.zeros(len(words))
+            for start, _, rows, piece in own:
+                total[rows] += np.exp(alpha[start][rows] - alpha[end - 1][rows]) * p[piece]
+            alpha[end] = alpha[end - 1] + np.log(total)
+        for start, own in groupby(sorted(edges, key=lambda e: -e[0]), key=lambda e: e[0]):
+            total = np.zeros(len(words))
+            for _, end, rows, piece in own:
+                total[rows] += np.exp(beta[end][rows] - beta[start + 1][rows]) * p[piece]
+            beta[start] = beta[start + 1] + np.log(total)
+        out = np.zeros(len(self.names) + 1)
         for start, end, rows, piece in edges:
-            np.add.at(total, piece, alpha[start][rows] * p[piece] * beta[end][rows] * scale[rows])
-        return total
+            np.add.at(out, piece, np.exp(alpha[start][rows] + beta[end][rows] - alpha[size][rows]) * p[piece] * counts[rows])
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -121,20 +137,19 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _by_length(words: list[str]) -> dict[int, list[int]]:
+def _by_length(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words by their lengths, AT_ONCE characters at most (one word at least)."""
     out: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         out.setdefault(len(w), []).append(i)
-    return out
-
-
-def _parts(word: str) -> list[str]:
-    marked = MARK + word
-    return [marked[k : k + PART] for k in range(0, len(marked), PART)]
+    for size, at in out.items():
+        step = max(1, AT_ONCE // size)
+        for k in range(0, len(at), step):
+            yield at[k : k + step]
 
 
 class WordScores:
-    """log probability of words in each language; remembers as many as REMEMBERED."""
+    """log probability of words in each language; what it remembers is cleared by its user."""
 
     def __init__(self, pieces: Pieces, p: np.ndarray):
         self.pieces, self.p = pieces, p
@@ -143,6 +158,7 @@ class WordScores:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.log = np.zeros((1024, self.p.shape[1]))
+        self.held = 0
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """Row numbers of self.log."""
@@ -155,28 +171,22 @@ class WordScores:
         first = len(self.index)
         if first + len(new) > len(self.log):
             self.log = np.concatenate([self.log, np.zeros((max(len(self.log), len(new)), self.log.shape[1]))])
-        parts, owner = [], []
-        for k, w in enumerate(new):
-            self.index[w] = first + k
-            for part in _parts(w):
-                parts.append(part)
-                owner.append(first + k)
-        owner = np.array(owner)
-        for at in _by_length(parts).values():
-            for k in range(0, len(at), 4096):
-                own = at[k : k + 4096]
-                np.add.at(self.log, owner[own], np.log(np.maximum(self.pieces.forward([parts[i] for i in own], self.p), 1e-300)))
+        self.index |= {w: first + k for k, w in enumerate(new)}
+        self.held += sum(4 * len(w) + 150 for w in new)
+        marked = [MARK + w for w in new]
+        for at in _by_length(marked):
+            self.log[first + np.array(at)] = self.pieces.forward([marked[i] for i in at], self.p)
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", path: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order, and piece probabilities (pieces and the unknown character x languages).
 
     Every row teaches, equal texts of a language once; rows with a null language
-    or text teach nothing. Word counts and expected pieces are summed by Spark;
+    or text teach nothing, and an empty table teaches no language. Word counts and expected pieces are summed by Spark;
     the driver gets at most one number for each language and piece.
     """
     place = common.vocabulary("piece_bpe_32k.model", path)
-    rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").distinct()
+    rows = df.select(common.quoted(lang_col).cast("string").alias("lang"), common.quoted(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").distinct()
 
     def count(b: pa.RecordBatch) -> dict:
         found: Counter = Counter()
@@ -189,25 +199,16 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", path: s
 
     def expect(b: pa.RecordBatch) -> dict:
         pieces = _pieces(place)
-        langs, parts, counts = [], [], []
-        for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for part in _parts(word):
-                langs.append(lang)
-                parts.append(part)
-                counts.append(n)
-        counts, langs = np.array(counts, float), np.array(langs, object)
+        langs, words, counts = np.array(b.column(0).to_pylist(), object), [MARK + w for w in b.column(1).to_pylist()], np.array(b.column(2).to_pylist(), float)
         out = {}
-        for at in _by_length(parts).values():
-            for lang in set(langs[at]):
+        for at in _by_length(words):
+            for lang in dict.fromkeys(langs[at]):
                 own = [i for i in at if langs[i] == lang]
-                out[lang] = out.get(lang, 0) + pieces.expected([parts[i] for i in own], counts[own])
+                out[lang] = out.get(lang, 0) + pieces.expected([words[i] for i in own], counts[own])
         keys = [(lang, int(i)) for lang, v in out.items() for i in np.nonzero(v)[0]]
         return {"lang": pa.array([k[0] for k in keys], pa.string()), "piece": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([out[a][i] for a, i in keys], pa.float64())}
 
-    common.ready(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    sums = common.map_batches_plain(words, expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
-    common.ready(df.sparkSession)
+    sums = common.map_batches(words, expect, "lang string, piece int, n double", whole=True).groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in sums})
     total = np.zeros((len(_pieces(place).names) + 1, len(langs)))
     for r in sums:
@@ -224,7 +225,9 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "
     `und` with score 0 where the text is null or has no letter, or nothing was
     learned. The score is the winner's share of the length-tempered
     probabilities. Ties go to the first language in order. Null ids and
-    repeated rows pass through; other columns are not read.
+    repeated rows pass through; texts and words are scored whole, however
+    long; other columns are not read, so none can clash; an empty table gives
+    no rows.
     """
     place = common.vocabulary("piece_bpe_32k.model", path)
     kind = df.schema[id_col].dataType.simpleString()
@@ -234,7 +237,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "
         words = [LETTERS.findall(t.lower()) if t and langs else [] for t in b.column(1).to_pylist()]
         pred, score = ["und"] * len(words), [0.0] * len(words)
         scores = _scores(place, p)
-        if len(scores.index) > REMEMBERED:
+        if scores.held > REMEMBERED:
             scores.clear()
         flat = [w for own in words for w in own]
         if flat:

@@ -1,7 +1,9 @@
 """The parts that run inside tasks, against libraries and brute force."""
 
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -15,6 +17,7 @@ from spindle.llm.token_counts import SegmentCounts, text_tokens
 random.seed(1)
 SIGNS = "ab é▁ \n\t01.,<s>日本\U0001f600\x1c\x85\xa0 'sll"
 TEXTS = ["".join(random.choice(SIGNS) for _ in range(random.randrange(60))) for _ in range(1500)]
+TEXTS += ["".join(random.choice(letters) for _ in range(n)) for letters in ("ab", "aeinrst", "0123456789", "日本語あい") for n in (1023, 1024, 1025, 2500, 9000)]
 TEXTS += ["", " ", "  a ", "a" * 5000, "ab" * 4000, "aaab" * 1500, "日本" * 1500, "<s></s>", "\0a\0", "<|endoftext|>", "x" * 30000]
 
 
@@ -119,11 +122,28 @@ def test_forward_sums_all_segmentations():
     p = np.append(rng.random(len(pieces.names)), 1e-7)[:, None]
     table = dict(zip(pieces.names, p[:, 0]))
     for word in ("▁the", "▁straße", "▁queue", "▁tionment"):
-        assert np.isclose(pieces.forward([word], p)[0, 0], all_segmentations(word, table))
+        assert np.isclose(np.exp(pieces.forward([word], p)[0, 0]), all_segmentations(word, table))
     total = pieces.expected(["▁the"], np.array([3.0]))
     assert np.isclose(sum(n * len(name) for n, name in zip(total, pieces.names)), 3 * len("▁the"))
 
 
+def test_forward_over_whole_long_words():
+    """Words beyond any fixed length are summed over all segmentations: by exact fractions of a plain forward pass."""
+    pieces = Pieces(P.path("piece_bpe_32k.model"))
+    p = np.random.default_rng(0).random((len(pieces.names) + 1, 2)) / 40_000
+    place = {name: k for k, name in enumerate(pieces.names)}
+    for word in ("▁" + "donaudampfschifffahrtsgesellschaftskapitän" * 3, "▁" + "x" * 500):
+        for lang in range(2):
+            alpha = [Fraction(1)]
+            for end in range(1, len(word) + 1):
+                ways = ((s, place.get(word[s:end], -1 if end - s == 1 else None)) for s in range(max(0, end - pieces.longest), end))
+                alpha.append(sum(alpha[s] * Fraction(float(p[k, lang])) for s, k in ways if k is not None))
+            true = math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+            assert math.isclose(pieces.forward([word, word], p)[1, lang], true, rel_tol=1e-9)
+        total = pieces.expected([word], np.array([2.0]))
+        assert np.isclose(sum(n * len(name) for n, name in zip(total, pieces.names)) + total[-1], 2 * len(word))
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
