@@ -3,8 +3,10 @@
 The features of a text: density, count and variety of lexicon terms, their
 nearness to second persons, capitals, punctuation, exclamation and obfuscation
 rates. The lexicon is learned: whole words and word beginnings that occur in
-many more toxic than clean training texts. Scores are calibrated by isotonic
-regression on training rows that the trees did not see.
+many more toxic than clean training texts. Training rows are dealt to folds by
+their text: a row's features come from the lexicon of the other folds, as a new
+text's do, and isotonic regression calibrates the margins that trees of the
+other folds give it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import boosting, common
 
@@ -24,6 +27,9 @@ from . import boosting, common
 TRAIN_ROWS = 20_000
 LEXICON = 2000
 LEAST_WEIGHT = 3.0
+#: Twice the log likelihood ratio that a term needs: of thousands of terms, some stand in a few toxic texts by chance.
+EVIDENCE = 20.0
+FOLDS = 4
 BEGINNINGS = (4, 5, 6)
 REMEMBERED = 200_000
 WORDS = re.compile(r"\w+")
@@ -99,81 +105,99 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """Up to so many labelled texts, saved; an id labelled twice counts as its greatest label."""
+    """id, y, text, fold of up to so many labelled ids, saved; an id labelled twice counts as its greatest label, one with two texts has its least."""
     small = (
-        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
+        labels.select(common.quoted(id_col).alias("id"), common.quoted(label_col).cast("int").alias("y"))
         .where("id IS NOT NULL AND y IS NOT NULL")
         .groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(rows)
     )
-    joined = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(small), "id")
-    return common.saved(joined.where("text IS NOT NULL"))
+    joined = docs.select(common.quoted(id_col).alias("id"), common.quoted(text_col).alias("text")).join(F.broadcast(small), "id").where("text IS NOT NULL")
+    one = joined.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    return common.saved(one.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS)).cast("int")))
+
+
+def _lexicon(counts: DataFrame, sizes: dict, without: int | None) -> dict[str, float]:
+    """term -> weight, from all folds but one."""
+    own = [k for k in range(FOLDS) if k != without]
+    n1, n0 = (sum(sizes.get((k, y), 0) for k in own) for y in (1, 0))
+    if not n1 or not n0:
+        return {}
+    said = counts.select("term", *(sum((F.col(f"n{y}_{k}") for k in own), F.lit(0)).alias(f"n{y}") for y in (1, 0)))
+    least = max(3, round(n1 * 0.004))
+    weight = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
+    part = lambda n, all_: F.when(n > 0, n * F.log(n / ((F.col("n1") + F.col("n0")) * float(all_ / (n1 + n0))))).otherwise(0.0)
+    evidence = 2 * (part(F.col("n1"), n1) + part(F.col("n0"), n0))
+    found = said.where(F.col("n1") >= least).withColumn("w", weight).where((F.col("w") >= LEAST_WEIGHT) & (evidence >= EVIDENCE)).orderBy(F.col("n1").desc(), "term").limit(LEXICON)
+    return {r["term"]: float(r["w"]) for r in found.collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> dict:
     """Lexicon, trees and calibration, learned from at most train_rows labelled ids.
 
-    Without both labels among the training rows the model gives their mean (0
-    if there are none).
+    Null ids, texts and labels teach nothing; repeated ids teach once. Without
+    both labels among the training rows the model gives their mean (0 if there
+    are none). Only the named columns are read, so no other can clash.
     """
     rows = training_rows(docs, labels, id_col, text_col, label_col, train_rows)
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return {"constant": float(n1 > 0)}
+    sizes = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    labels_seen = {y for _, y in sizes}
+    if labels_seen != {0, 1}:
+        return {"constant": float(1 in labels_seen)}
 
     def terms(b: pa.RecordBatch) -> dict:
         found: Counter = Counter()
-        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for y, fold, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = set(WORDS.findall(text.lower()))
-            found.update((t, y) for t in {t for w in words for t in _terms(w)})
+            found.update((t, y, fold) for t in {t for w in words for t in _terms(w)})
         keys = list(found)
-        return {"term": pa.array([k[0] for k in keys], pa.string()), "y": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array(list(found.values()), pa.int64())}
+        return {"term": pa.array([k[0] for k in keys], pa.string()), "y": pa.array([k[1] for k in keys], pa.int32()), "fold": pa.array([k[2] for k in keys], pa.int32()), "n": pa.array(list(found.values()), pa.int64())}
 
-    least = max(3, round(n1 * 0.004))
-    counts = common.map_batches(rows.select("y", "text"), terms, "term string, y int, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("y")).alias("n1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("n0"))
-    weight = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    found = counts.where(F.col("n1") >= least).withColumn("w", weight).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.col("n1").desc(), "term").limit(LEXICON).collect()
-    lexicon = {r["term"]: float(r["w"]) for r in found}
+    in_cell = lambda y, k: F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}_{k}")
+    said = common.map_batches(rows.select("y", "fold", "text"), terms, "term string, y int, fold int, n long", whole=True)
+    counts = common.saved(said.groupBy("term").agg(*(in_cell(y, k) for y in (0, 1) for k in range(FOLDS))).where(sum((F.col(f"n1_{k}") for k in range(FOLDS)), F.lit(0)) >= 3))
+    lexicon = _lexicon(counts, sizes, None)
+    others = [_lexicon(counts, sizes, k) for k in range(FOLDS)]
 
     def features(b: pa.RecordBatch) -> dict:
-        scorer = Scorer(lexicon)
-        x = np.array([scorer.features(t) for t in b.column(1).to_pylist()])
-        return {"y": b.column(0), "part": b.column(2)} | {f"f{j}": pa.array(x[:, j]) for j in range(N_FEATURES)}
-
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4)).cast("int").alias("part")
-    table = common.map_batches(rows.select("y", "text", part), features, "y int, part int, " + ", ".join(f"f{j} double" for j in range(N_FEATURES))).toPandas()
-    x, y, held = table[[f"f{j}" for j in range(N_FEATURES)]].to_numpy(), table["y"].to_numpy(float), table["part"].to_numpy() == 0
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    trees = boosting.fit(x[~held], y[~held], np.ones((~held).sum()))
-    own = held if held.any() else ~held
-    knots = boosting.isotonic(trees.margin(x[own]), y[own], np.ones(own.sum()))
-    return {"lexicon": lexicon, "trees": trees, "knots": knots}
-
-
-def score(df: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns `keep` (all, if not given) with toxicity_score in 0..1 and toxicity_predicted; map only.
-
-    A null or empty text has all features 0 and is scored as such. Nulls in
-    other columns, repeated rows and extra columns pass through; columns named
-    as the two results are replaced; an empty table gives no rows.
+        scorers = [Scorer(x) for x in others]
+        x = np.array([scorers[k].features(t) for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+        return {"y": b.column(0), "fold": b.column(1)} | {f"f{j}": pa.array(x[:, j]) for j in range(N_FEATURES)}
+
+    table = common.map_batches(rows.select("y", "fold", "text"), features, "y int, fold int, " + ", ".join(f"f{j} double" for j in range(N_FEATURES))).toPandas()
+    common.dropped(counts, rows)
+    table = table.sort_values(list(table.columns))  # the trees don't depend on the order in which rows arrive
+    x, y, fold = table[[f"f{j}" for j in range(N_FEATURES)]].to_numpy(), table["y"].to_numpy(float), table["fold"].to_numpy()
+    margin = np.empty(len(y))
+    for k in set(fold.tolist()):
+        own = fold != k if (fold != k).any() else fold == k
+        margin[fold == k] = boosting.fit(x[own], y[own], np.ones(own.sum())).margin(x[fold == k])
+    return {"lexicon": lexicon, "trees": boosting.fit(x, y, np.ones(len(y))), "knots": boosting.isotonic(margin, y, np.ones(len(y)))}
+
+
+def score(df: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("toxicity_score", "toxicity_predicted")) -> DataFrame:
+    """df's columns `keep` (all, if not given) with a score in 0..1 and its prediction, named by `names`; map only.
+
+    A null or empty text has all features 0 and is scored as such; a very long
+    one is scored whole. Nulls in other columns, repeated rows and extra
+    columns of any name pass through; columns named as the two results are
+    replaced; ties do not arise; an empty table gives no rows.
     """
-    keep = [c for c in keep or df.columns if c not in ("toxicity_score", "toxicity_predicted")]
-    inner = df.select(F.col(f"`{text_col}`").alias("_toxicity_text"), *(F.col(f"`{c}`") for c in keep))
+    keep = [c for c in keep or df.columns if c not in names]
+    inner = df.select(common.quoted(text_col).alias("text"), *(common.quoted(c).alias(f"k{i}") for i, c in enumerate(keep)))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(b: pa.RecordBatch) -> dict:
         texts = b.column(0).to_pylist()
         if "constant" in model:
             s = np.full(len(texts), model["constant"])
         else:
             scorer = _scorer(model["lexicon"])
             s = np.interp(model["trees"].margin(np.array([scorer.features(t) for t in texts])), *model["knots"])
-        arrays = [b.column(i + 1) for i in range(len(keep))] + [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, names=[*keep, "toxicity_score", "toxicity_predicted"])
+        return {f"k{i}": b.column(i + 1) for i in range(len(keep))} | {"s": pa.array(s, pa.float64()), "p": pa.array((s >= 0.5).astype(np.int32), pa.int32())}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:])
-    return common.map_batches(inner, run, schema + ", toxicity_score double, toxicity_predicted int")
+    schema = T.StructType([*inner.schema.fields[1:], T.StructField("s", T.DoubleType()), T.StructField("p", T.IntegerType())])
+    out = common.map_batches(inner, run, schema)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("s").alias(names[0]), F.col("p").alias(names[1]))
 
 
 _memory: list = []
