@@ -161,7 +161,7 @@ def _checked(spans: Column, check) -> Column:
 
 def with_base(df: DataFrame, text_col: str) -> DataFrame:
     """df with _text and an array of struct(start, end) for each base kind."""
-    df = df.withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    df = df.withColumn("_text", F.coalesce(common.quoted(text_col), F.lit("")))
     digit = F.col("_text").rlike("[0-9]")
     guards = {"email": F.contains("_text", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("_text", F.lit("+")) & digit}
     checks = {"email": None, "ip": _octets, "card": _luhn, "phone": _phone}
@@ -212,15 +212,17 @@ def with_candidates(df: DataFrame) -> DataFrame:
 def train(df: DataFrame, text_col: str = "text") -> tuple[boosting.Trees | None, list[float]]:
     """Trees, and the margin from which each generator's candidates are added (inf: never).
 
+    Null and empty texts have no candidates; an empty table teaches by SEEDS alone.
     Spark counts the candidates of all texts (equal ones once) and of SEEDS by
     their binned features; the driver gets one row for each cell of the grid (13
     * 9 * 9 * 2 * 6 * 5 * 3 * 6 * 6 for each generator at most) and fold.
     """
     seeds = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("text"))
-    rows = df.select(F.col(f"`{text_col}`").alias("text")).distinct().unionByName(seeds)
-    cand = with_candidates(with_base(rows, "text")).select(F.explode_outer("_cand").alias("c"), F.pmod(F.xxhash64("text", F.lit(4)), F.lit(4)).alias("fold"))
+    rows = df.select(common.quoted(text_col).alias("text")).unionByName(seeds)
+    found = with_candidates(with_base(rows, "text")).select(F.md5(F.col("_text").cast("binary")).alias("digest"), F.explode_outer("_cand").alias("c"))
     # explode_outer: from explode the optimizer infers a filter, which it then pushes through, and copies into, all of the above
-    cand = common.saved(cand).where("c IS NOT NULL")
+    # equal texts teach once: their candidates are equal; these few rows are shuffled, not the texts
+    cand = common.saved(found).where("c IS NOT NULL").distinct().withColumn("fold", F.pmod(F.xxhash64("digest"), F.lit(4)))
     cells = cand.groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES), (F.col("fold") == 0).alias("held")).agg(F.sum("c.y").alias("pos"), F.count("*").alias("n")).orderBy(*FEATURES, "held").collect()
     never = [float("inf")] * len(GENERATORS)
     if not cells:
@@ -258,16 +260,9 @@ def _margin(trees: boosting.Trees, c: Column) -> Column:
     return total
 
 
-def find(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns `keep` (all, if not given) with pii_base and pii_added: arrays of struct(kind, start, end).
-
-    Offsets are code points, ends exclusive. A null or empty text has no span.
-    Added spans overlap no base span and no added span of an earlier generator.
-    Nulls elsewhere, repeated rows and extra columns pass through; columns
-    named pii_base and pii_added are replaced; an empty table gives no rows.
-    """
-    keep = [c for c in keep or df.columns if c not in ("pii_base", "pii_added")]
-    inner = df.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").alias("_own"))
+def _found(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text_col: str) -> DataFrame:
+    """df's columns as _k0, _k1 ... with _text, _base and _added: arrays of struct(kind, start, end)."""
+    inner = df.select(*(common.quoted(c).alias(f"_k{i}") for i, c in enumerate(df.columns)), common.quoted(text_col).alias("_own"))
     out = with_candidates(with_base(inner, "_own"))
     trees, limits = model
     added = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
@@ -277,8 +272,21 @@ def find(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text_c
         first = F.filter("_chosen", lambda c: ~F.exists(F.col("_chosen"), lambda o: (o["gen"] < c["gen"]) & (o["start"] < c["end"]) & (c["start"] < o["end"])))
         names = F.array(*map(F.lit, GENERATORS))
         added = F.transform(first, lambda c: F.struct(F.get(names, c["gen"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    base = F.concat(*map(_named, BASE))
-    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), base.alias("pii_base"), added.alias("pii_added"))
+    return out.withColumns({"_base": F.concat(*map(_named, BASE)), "_added": added})
+
+
+def find(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("pii_base", "pii_added")) -> DataFrame:
+    """df's columns `keep` (all, if not given) with base and added spans, named by `names`: arrays of struct(kind, start, end).
+
+    Offsets are code points, ends exclusive. A null or empty text has no span; a
+    very long one is searched whole. Added spans overlap no base span and no
+    added span of an earlier generator. Nulls elsewhere, repeated rows and
+    extra columns of any name pass through; columns named as the two results
+    are replaced; an empty table gives no rows.
+    """
+    at = {c: f"_k{i}" for i, c in enumerate(df.columns)}
+    out = _found(df, model, text_col)
+    return out.select(*(F.col(at[c]).alias(c) for c in keep or df.columns if c not in names), F.col("_base").alias(names[0]), F.col("_added").alias(names[1]))
 
 
 def _named(kind: str) -> Column:
@@ -295,14 +303,13 @@ def _limit(limits: list[float], c: Column) -> Column:
 def redact(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """df with every found span of the text replaced by its kind in angle brackets; overlapping spans become one.
 
-    length_col, if df has it, becomes the code points of the new text.
+    length_col, if df has it, becomes the code points of the new text (null for
+    a null text). A null text stays null, an empty one empty; nulls elsewhere,
+    repeated rows and extra columns of any name pass through; an empty table
+    gives no rows.
     """
-    names = df.columns
-    found = find(df, model, text_col, keep=names) if not {"pii_base", "pii_added"} & set(names) else None
-    if found is None:
-        raise ValueError("columns pii_base and pii_added are the operator's own")
-    text = F.col(f"`{text_col}`")
-    spans = F.array_sort(F.transform(F.concat("pii_base", "pii_added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = F.col("_own")
+    spans = F.array_sort(F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -313,14 +320,15 @@ def redact(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text
 
     whole = F.aggregate(F.col("_spans"), start, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     clean = F.when(F.size("_spans") > 0, whole).otherwise(text)
-    out = found.withColumn("_spans", spans).withColumn("_clean", clean)
-    new = {text_col: F.col("_clean")} | ({length_col: F.length("_clean").cast(df.schema[length_col].dataType)} if length_col in names else {})
-    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in names))
+    out = _found(df, model, text_col).withColumn("_spans", spans).withColumn("_clean", clean)
+    new = {text_col: F.col("_clean")} | ({length_col: F.length("_clean").cast(df.schema[length_col].dataType)} if length_col in df.columns else {})
+    return out.select(*(new.get(c, F.col(f"_k{i}")).alias(c) for i, c in enumerate(df.columns)))
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find(docs, train(docs), keep=["doc_id"])
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, BASE), F.sha2(said(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), said(F.concat("pii_base", "pii_added")).alias("spans"))
+    count = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    each = [count("pii_base", k) for k in BASE] + [F.sha2(said(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), said(F.concat("pii_base", "pii_added")).alias("spans")]
+    return found.select("doc_id", *each, *(count("pii_added", k) for k in GENERATORS), (F.size("pii_base") + F.size("pii_added")).cast("long").alias("n_spans"))
