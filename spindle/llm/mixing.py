@@ -4,7 +4,8 @@ The rate of a source is its target number of rows over its rows. A document's
 count is the Poisson quantile, at its source's rate, of a uniform number hashed
 from seed and id: the first k whose distribution function exceeds it. Each
 document is exploded by its count, and the copies are put in the order of a
-second hash by a range shuffle over the whole output.
+second hash. As that is uniform, equal ranges of it are equal shares of the
+output: each copy's partition is computed, no sample of the rows is taken.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The rates are broadcast if their tables of the distribution hold no more than
-#: this many numbers (16 MB); else the documents are joined to them, salted.
+#: The rates are broadcast if they (a source's name and numbers) fill no more than so
+#: many cells of 8 bytes (16 MB); else the documents are joined to them, salted.
 BROADCAST_CELLS = 2_000_000
 SALTS = 64
 ALPHA = 0.5
+#: Bits of mix_key.
+ORDER_BITS = 60
+ADDED = ("rate", "n_copies", "copy", "mix_key")
 
 
 def _hex(text: Column, digits: int) -> Column:
@@ -26,8 +30,9 @@ def _hex(text: Column, digits: int) -> Column:
 
 
 def source_rates(df: DataFrame, source_col: str, weights: dict[str, float] | None, alpha: float, size: float) -> DataFrame:
-    """One row for each source: rate, and the Poisson distribution function up to its far tail."""
-    counts = df.groupBy(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_source"), F.col(f"`{source_col}`").isNull().alias("_null")).agg(F.count("*").alias("_n"))
+    """_source, _null, _rate: one row for each source."""
+    source = common.quoted(source_col)
+    counts = df.groupBy(F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_null")).agg(F.count("*").alias("_n"))
     if weights is None:
         weight = F.pow(F.col("_n").cast("double"), F.lit(float(alpha)))
     else:
@@ -35,38 +40,49 @@ def source_rates(df: DataFrame, source_col: str, weights: dict[str, float] | Non
         for name, w in sorted(weights.items()):
             weight = F.when(~F.col("_null") & (F.col("_source") == name), float(w)).otherwise(weight)
     counts = common.saved(counts.withColumn("_w", weight))
-    total = counts.agg(F.sum("_w").alias("_all_w"), F.sum("_n").alias("_all_n"))
-    rate = F.when(F.col("_all_w") > 0, F.col("_all_n") * float(size) * F.col("_w") / F.col("_all_w") / F.col("_n")).otherwise(0.0)
-    last = F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 30).cast("int")
-    log_p = lambda acc, k: acc["log_p"] + F.when(k > 0, F.log(F.col("_rate") / F.greatest(k, F.lit(1)))).otherwise(0.0)
-    start = F.struct((-F.col("_rate")).alias("log_p"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
-    step = lambda acc, k: F.struct(log_p(acc, k).alias("log_p"), (acc["sum"] + F.exp(log_p(acc, k))).alias("sum"), F.array_append(acc["cdf"], acc["sum"] + F.exp(log_p(acc, k))).alias("cdf"))
-    cdf = F.when(F.col("_rate") > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["cdf"])).otherwise(F.array(F.lit(2.0)))
-    return counts.crossJoin(F.broadcast(total)).withColumn("_rate", rate).select("_source", "_null", "_rate", cdf.alias("_cdf"))
+    total = counts.agg(F.sum("_w").alias("_all_w"), F.sum("_n").alias("_all_n")).first()
+    if not total["_all_w"]:
+        return counts.select("_source", "_null", F.lit(0.0).alias("_rate"))
+    rate = F.lit(total["_all_n"]) * float(size) * F.col("_w") / F.lit(total["_all_w"]) / F.col("_n")
+    return counts.select("_source", "_null", rate.alias("_rate"))
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, size: float = 1.0, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Each row repeated by its Poisson count, in a global hash order.
+def poisson_quantile(u: Column, rate: Column) -> Column:
+    """The number of k whose distribution function at this rate is at most u; about `rate` steps, and nothing is kept of them."""
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    start = F.struct(F.lit(0).alias("n"), (-rate).alias("log_p"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, k: Column) -> Column:
+        log_p = acc["log_p"] + F.when(k > 0, F.log(rate / F.greatest(k, F.lit(1)))).otherwise(0.0)
+        below = acc["sum"] + F.exp(log_p)
+        # past the quantile the state stays as it is
+        return F.when(acc["n"] < k, acc).otherwise(F.struct((acc["n"] + (below <= u).cast("int")).alias("n"), log_p.alias("log_p"), below.alias("sum")))
+
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["n"])).otherwise(0)
+
+
+def mix(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, size: float = 1.0, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None, added: tuple[str, ...] = ADDED) -> DataFrame:
+    """Each row repeated by its Poisson count, in a global hash order: partition after partition, sorted within.
 
     weights: target weight of each source (others 0); None: rows to the power
     alpha. size: expected rows of the result over those of df. Returns `keep`
-    (id and source, if not given) with rate, n_copies, copy (from 0) and
-    mix_key. A null source is a source of its own; a null id hashes as its own
-    value; rows of equal id get equal counts; an empty table gives no rows; an
-    extra column named as one of the results is not kept unless asked for,
-    which raises.
+    (id and source, if not given) and `added` of rate, n_copies, copy (from 0)
+    and mix_key; where a kept column has the name of an added one, only the
+    kept one is returned. A null source is a source of its own; a null id
+    hashes as its own value; null, empty and very long texts are carried whole;
+    rows of equal id get equal counts; copies of equal mix_key stand by copy;
+    an empty table gives no rows.
     """
+    spark = df.sparkSession
     keep = list(dict.fromkeys(keep or [id_col, source_col]))
-    if clash := {"rate", "n_copies", "copy", "mix_key"} & set(keep):
-        raise ValueError(f"columns that the result adds: {sorted(clash)}")
-    rates = common.saved(source_rates(df, source_col, weights, alpha, size), compact=1)
-    cells = rates.agg(F.sum(F.size("_cdf") + 8)).first()[0] or 0
-    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))
+    rates = common.saved(source_rates(df, source_col, weights, alpha, size))
+    cells = rates.agg(F.sum(F.octet_length("_source") / 8 + 8)).first()[0] or 0
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(common.quoted(id_col).cast("string"), F.lit("null")))
     rows = df.select(
-        *(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)),
+        *(common.quoted(c).alias(f"_k{i}") for i, c in enumerate(keep)),
         key.alias("_key"),
-        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_source"),
-        F.col(f"`{source_col}`").isNull().alias("_null"),
+        F.coalesce(common.quoted(source_col).cast("string"), F.lit("")).alias("_source"),
+        common.quoted(source_col).isNull().alias("_null"),
     )
     if cells <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(rates), ["_source", "_null"])
@@ -75,11 +91,13 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = A
         copies = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("_salt", salt).join(copies, ["_source", "_null", "_salt"])
     u = _hex(F.concat_ws(":", F.lit("count"), "_key"), 13).cast("double") / float(1 << 52)
-    counted = joined.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
+    counted = joined.withColumn("_u", u).withColumn("n_copies", poisson_quantile(F.col("_u"), F.col("_rate")))
     copies = counted.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    mixed = copies.withColumn("mix_key", _hex(F.concat_ws(":", F.lit("order"), "_key", F.col("copy").cast("string")), 15).cast("long"))
-    out = mixed.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_rate").alias("rate"), "n_copies", "copy", "mix_key")
-    return out.repartitionByRange("mix_key", "copy").sortWithinPartitions("mix_key", "copy")
+    mixed = copies.withColumn("mix_key", _hex(F.concat_ws(":", F.lit("order"), "_key", F.col("copy").cast("string")), ORDER_BITS // 4).cast("long"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("mix_key") / (float(1 << ORDER_BITS) / parts)).cast("int")
+    placed = mixed.withColumnRenamed("_rate", "rate").repartitionById(parts, F.least(part, F.lit(parts - 1))).sortWithinPartitions("mix_key", "copy")
+    return placed.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *(c for c in added if c not in keep))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
