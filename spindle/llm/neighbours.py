@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a permutation index (operator 9).
 
-Every vector is represented by its nearest pivots in order. Vectors are kept in
-blocks; a block has an inverted file for each pivot, which holds the pivot's
-place in the order of each row (with so many nearest pivots, dense files are
-smaller than lists). A query reads only the files of its own nearest pivots,
-which give the footrule distance to each distinct vector; those of smallest
-footrule are reranked by exact distance, with all their copies. Each block's nearest go to a top-k.
+Every vector is represented by its nearest pivots in order, and posted in the
+inverted files of the nearest few. A query goes to the files of its own nearest
+pivots only. There the entries are ranked by footrule distance between their
+order of pivots and the query's; those of smallest footrule are reranked by exact
+distance. Of an entry that stands in several of a query's files only the file
+of the pivot nearest to the query looks at it. Files are split into blocks, so
+that a dense cluster's pivot is many blocks and no task holds a whole file.
 """
 
 from __future__ import annotations
@@ -14,30 +15,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Pivots, chosen far apart among the vectors of smallest id hash, so many.
 PIVOTS, PIVOT_SAMPLE = 256, 1024
-#: Nearest pivots that represent a vector.
-NEAREST = 96
-#: Share of each block's distinct vectors that is reranked, and the least number of them.
-RERANK, RERANK_LEAST = 0.12, 64
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Nearest pivots in whose files a vector is posted, and those whose files a query reads.
+POSTED, PROBED = 3, 80
+#: Nearest pivots of which footrule distances are made.
+NEAREST = 48
+#: Share of a block's entries that is reranked, and the least number of them.
+RERANK, RERANK_LEAST = 0.3, 16
+BLOCK, QUERY_BLOCK = 2048, 512
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and v (array<double>) of the rows that take part: id and vector not null, components finite, not all zero."""
-    v = F.col(f"`{vec_col}`").cast("array<double>")
+    v = common.quoted(vec_col).cast("array<double>")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
+    rows = df.select(common.quoted(id_col).cast("long").alias("id"), v.alias("v"))
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", fine), F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def pivots(rows: DataFrame) -> np.ndarray:
-    """At most PIVOTS distinct vectors of the commonest length in the sample, each the farthest from those before it.
+def pivots(rows: DataFrame, most: int = PIVOTS) -> np.ndarray:
+    """At most so many distinct vectors of the commonest length in the sample, each the farthest from those before it.
 
     Pivots drawn at random would crowd in a dense cluster, and the order among
     crowded pivots tells nothing about vectors elsewhere.
@@ -49,7 +52,7 @@ def pivots(rows: DataFrame) -> np.ndarray:
     dim = max(sorted(set(sizes)), key=sizes.count)
     x = np.array(list(dict.fromkeys(tuple(r["v"]) for r in sample if len(r["v"]) == dim)))
     chosen, gap = [0], ((x - x[0]) ** 2).sum(1)
-    while len(chosen) < PIVOTS and gap.max() > 0:
+    while len(chosen) < most and gap.max() > 0:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
     return x[chosen]
@@ -61,93 +64,138 @@ def places(x: np.ndarray, p: np.ndarray, nearest: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :nearest].astype(np.int16)
 
 
-def packed(rows: DataFrame, dim: int, size: int, name: str) -> DataFrame:
-    """Blocks of up to `size` rows of one partition: ids and vectors as binaries."""
+def few_copies(rows: DataFrame, k: int) -> DataFrame:
+    """rows without those of which 2 k others with the same vector come before; no answer of k can hold them.
+
+    k rows of an id and vector, then 2 k rows of a vector, by id: if k of these
+    have a query's own id, k are left. Spark limits ranks before the shuffle, so
+    that a vector which is a third of all rows is no hot key.
+    """
+    once = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))).where(F.col("_r") <= k).drop("_r")
+    return once.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= 2 * k).drop("_r")
+
+
+def posted(rows: DataFrame, p: np.ndarray, files: int, keep: int) -> DataFrame:
+    """A row (pivot, id, vector, order) for each of the nearest `files` pivots of each vector; order holds the nearest `keep`."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        x = np.array(b.column(1).to_pylist(), np.float64)
+        order = places(x, p, keep)
+        each = np.repeat(np.arange(len(x)), files)
+        raw, nearest = [v.tobytes() for v in x], [o.tobytes() for o in order]
+        return {
+            "pivot": pa.array(order[:, :files].ravel().astype(np.int32)), "id": b.column(0).take(pa.array(each)),
+            "vector": pa.array([raw[i] for i in each], pa.binary()), "order": pa.array([nearest[i] for i in each], pa.binary()),
+        }
+
+    return common.map_batches(rows.where(F.size("v") == p.shape[1]), run, "pivot int, id long, vector binary, order binary")
+
+
+def blocks(entries: DataFrame, n_pivots: int, size: int, name: str) -> DataFrame:
+    """pivot and up to `size` entries of its file in each row: ids, vectors and orders as binaries; saved.
+
+    A pivot's entries are spread by hash over so many groups that each is about
+    one block. The driver gets one count for each pivot.
+    """
+    held = common.saved(entries)
+    counts = dict(held.groupBy("pivot").count().collect())
+    groups = F.array(*(F.lit(-(-counts.get(k, 0) // size) or 1) for k in range(n_pivots)))
+    group: Column = F.pmod(F.xxhash64("id", F.lit(9)), F.get(groups, "pivot")).alias("group")
+    dealt = held.select("pivot", group, "id", "vector", "order").repartition("pivot", "group").sortWithinPartitions("pivot", "group")
+
+    def block(pivot: int, rows: list[tuple]) -> pa.RecordBatch:
+        ids, vectors, orders = zip(*rows, strict=True)
+        columns = {"ids": np.array(ids, "<i8").tobytes(), "vectors": b"".join(vectors), "orders": b"".join(orders)}
+        return pa.RecordBatch.from_pydict({"pivot": pa.array([pivot], pa.int32())} | {f"{name}_{k}": pa.array([v], pa.binary()) for k, v in columns.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = [], []
+        at, rows = None, []
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == size:
-                    yield block(ids, vectors)
-                    ids, vectors = [], []
-        if ids:
-            yield block(ids, vectors)
-
-    def block(ids: list, vectors: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({f"{name}_ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), f"{name}_vectors": pa.array([np.array(vectors, "<f8").tobytes()], pa.binary())})
-
-    return rows.where(F.size("v") == dim).mapInArrow(run, f"{name}_ids binary, {name}_vectors binary")
-
-
-def search_block(q_ids, q, ids, x, p, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: ids and distances of the block's nearest found, by footrule, then exact."""
-    nearest = min(NEAREST, len(p))
-    # equal vectors share one entry of the files, or the copies of one vector could fill the share that is reranked
-    _, first, entry = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    distinct, n = x[first], len(first)
-    own, asked = places(distinct, p, nearest), places(q, p, nearest)
-    # inverted files: a pivot missing from an entry's order stands at place `nearest`
-    files = np.full((len(p), n), nearest, np.int16)
-    files[own.ravel(), np.repeat(np.arange(n), nearest)] = np.tile(np.arange(nearest, dtype=np.int16), n)
-    keep = min(n, max(RERANK_LEAST, int(np.ceil(RERANK * n))))
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, entry, ids)
-    rank_of_id = np.argsort(np.argsort(least, kind="stable"), kind="stable")
+            for pivot, g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and ((pivot, g) != at or len(rows) == size):
+                    yield block(at[0], rows)
+                    rows = []
+                at = (pivot, g)
+                rows.append(row)
+        if rows:
+            yield block(at[0], rows)
+
+    out = common.saved(dealt.mapInArrow(run, f"pivot int, {name}_ids binary, {name}_vectors binary, {name}_orders binary"))
+    common.dropped(held)
+    return out
+
+
+def search_block(pivot: int, q_ids, q, asked, ids, x, order, n_pivots: int, files: int, k: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: ids and distances of the nearest found among a block of one pivot's entries, by footrule, then exact."""
+    n, nearest = len(ids), min(NEAREST, order.shape[1])
+    # the block inverted: each pivot's place in each entry's order, `nearest` if it is not among those
+    inverted = np.full((n_pivots, n), nearest, np.int16)
+    inverted[order[:, :nearest].ravel(), np.repeat(np.arange(n), nearest)] = np.tile(np.arange(nearest, dtype=np.int16), n)
     at = np.arange(nearest, dtype=np.int16)[:, None]
+    homes = order[:, :files]
+    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     for i in range(len(q_ids)):
-        # up to a constant: |place - at| of the query's pivots, and what the entry's other pivots lack to `nearest`
-        read = files[asked[i]]
-        foot = (np.abs(read - at) + read).sum(0, dtype=np.int64)
-        key = foot * n + rank_of_id
-        cand = np.argpartition(key, keep - 1)[:keep] if keep < n else np.arange(n)
-        far = np.full(n, np.inf)
-        far[cand] = np.sqrt(((distinct[cand] - q[i]) ** 2).sum(1))
-        d = far[entry]
-        rows = np.flatnonzero((d < np.inf) & (ids != q_ids[i]))
-        best = rows[np.lexsort((ids[rows], d[rows]))[:k]]
-        yield i, ids[best], d[best]
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+        place = np.full(n_pivots, n_pivots, np.int16)
+        place[asked[i]] = np.arange(len(asked[i]), dtype=np.int16)
+        # entries for which no other file nearer to the query is read
+        own = np.flatnonzero((place[homes].min(1) == place[pivot]) & (ids != q_ids[i]))
+        keep = max(RERANK_LEAST, k, int(np.ceil(share * len(own))))
+        if keep < len(own):
+            # up to a constant: |place - at| of the query's pivots, and what the entry's other pivots lack to `nearest`
+            read = inverted[asked[i][:nearest]][:, own]
+            foot = (np.abs(read - at) + read).sum(0, dtype=np.int64)
+            own = own[np.argpartition(foot * n + by_id[own], keep - 1)[:keep]]
+        d = np.sqrt(((x[own] - q[i]) ** 2).sum(1))
+        best = np.lexsort((ids[own], d))[:k]
+        yield i, ids[own[best]], d[best]
+
+
+def _met(index: DataFrame, asked: DataFrame, p: np.ndarray, files: int, k: int, share: float) -> DataFrame:
+    """query_id, vec_id, score of the nearest that each query finds in each block of the files it reads."""
+    q = blocks(asked, len(p), QUERY_BLOCK, "q")
+    dim, n_pivots = p.shape[1], len(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                v_ids, v, v_orders, q_ids, qs, q_orders = (np.frombuffer(b.column(j)[r].as_buffer(), t) for j, t in enumerate(("<i8", "<f8", "<i2") * 2, 1))
+                found = [
+                    (np.full(len(i), q_ids[m]), i, d)
+                    for m, i, d in search_block(b.column(0)[r].as_py(), q_ids, qs.reshape(-1, dim), q_orders.reshape(len(q_ids), -1), v_ids, v.reshape(-1, dim), v_orders.reshape(len(v_ids), -1), n_pivots, files, k, share)
+                ]
+                a, i, d = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(d, pa.float64())})
+
+    pairs = index.join(q, "pivot").select("pivot", "v_ids", "v_vectors", "v_orders", "q_ids", "q_vectors", "q_orders")
+    return common.saved(pairs.mapInArrow(run, "query_id long, vec_id long, score double"))
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = PIVOTS, n_posted: int = POSTED, n_probed: int = PROBED) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found, all candidates if fewer.
 
     Vectors null, zero, of another length than the pivots', or with null or
     non-finite components take no part, nor do null ids. A query's own id is
     not among its candidates; repeated ids are candidates of their own; a
     query id that occurs twice is asked once (its smallest vector). Ties go to
-    the smaller id. An empty table gives no rows.
+    the smaller id. Queries that find fewer than k in their files are asked
+    again, exactly, in all files. Only the two named columns are read, so no
+    other can clash. An empty table gives no rows.
     """
     spark = df.sparkSession
     common.ready(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     rows = usable(df, id_col, vec_col)
-    p = pivots(rows)
-    schema = "query_id long, vec_id long, score double"
+    p = pivots(rows, n_pivots)
     if not len(p):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = p.shape[1]
+    files, probed, keep = min(n_posted, len(p)), min(n_probed, len(p)), min(NEAREST, len(p))
+    index = blocks(posted(few_copies(rows, k), p, files, max(keep, files)), len(p), BLOCK, "v")
     asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    # query blocks are numbered; each block of vectors meets each block of queries
-    q = common.saved(packed(asked, dim, QUERY_BLOCK, "q").withColumn("q_no", F.monotonically_increasing_id()))
-    blocks = common.saved(packed(rows, dim, BLOCK, "v"))
-    pairs = blocks.join(q)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                v_ids, v, q_ids, qs = (b.column(j)[r].as_buffer() for j in range(4))
-                v_ids, q_ids = np.frombuffer(v_ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                v, qs = np.frombuffer(v, "<f8").reshape(-1, dim), np.frombuffer(qs, "<f8").reshape(-1, dim)
-                out = [(np.full(len(i), q_ids[n]), i, d) for n, i, d in search_block(q_ids, qs, v_ids, v, p, k)]
-                if out:
-                    a, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(d, pa.float64())})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    found = pairs.select("v_ids", "v_vectors", "q_ids", "q_vectors").mapInArrow(run, schema)
+    found = _met(index, posted(asked, p, probed, max(keep, probed)), p, files, k, RERANK)
+    full = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
+    short = common.saved(asked.join(full, "id", "left_anti"))
+    if short.limit(1).count():
+        again = _met(index, posted(short, p, len(p), len(p)), p, files, k, 1.0)
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(again)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
