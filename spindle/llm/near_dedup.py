@@ -9,11 +9,15 @@ signature. Two texts agree at a coordinate with the probability of their
 weighted Jaccard similarity.
 
 Bands of the signature are joined. Equal texts are one node from the start. In
-each bucket every node is first held against one leader (the node that shares
-the most bucket places), which settles groups of near copies without their
-pairs; then only nodes that are still in another component than the bucket's
-main one meet the rest of the bucket. A bit sketch of the signature prunes far
-pairs inside the join; what is left is verified on the whole weighted sets.
+each bucket every node is held against one leader (the node that shares the most
+bucket places), which settles groups of near copies without their pairs. What is
+left are nodes in another component than their leader's. With d(x) the symmetric
+difference of x and the leader, two sets differ by |d(x)| + |d(y)| - 2 |d(x) n d(y)|,
+so a node that is not similar to the leader can only be similar to a node whose
+difference shares elements with its own. How many follows from the sizes; the
+rarest elements of each difference, just enough of them that one must be shared,
+are joined. That finds every similar pair of a bucket and stays small where many
+texts of a group are almost similar, as their differences are their own.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,9 +37,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
-#: Differing bits of 124 beyond which a pair is not verified: at similarity 0.8
-#: 12.4 are expected, with a deviation of 3.4.
-FAR_BITS = 30
 #: Words hashed by one prefix sum, and bytes beyond which a word is hashed by itself.
 WORDS_AT_ONCE, LONG_WORD = 65_536, 256
 #: Elements handled at once: their arrays stay in a core's cache.
@@ -169,6 +170,16 @@ def _signed(sets: list[tuple[np.ndarray, np.ndarray]], k: int, darts: float) ->
     return sign
 
 
+def tokens(text: str | None) -> np.ndarray:
+    """The text's weighted set as a sorted plain one: the n-th occurrence of a shingle is an element of its own."""
+    s = np.sort(shingles(text))
+    if not len(s):
+        return s
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    nth = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
+    return np.sort(np.where(nth == 0, s, _mix(s + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
+
+
 def _banded(b: pa.RecordBatch) -> dict:
     keys, sets, done = [], [], set()
     for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -186,130 +197,172 @@ def _banded(b: pa.RecordBatch) -> dict:
         for r in range(ROWS):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sign[:, band * ROWS + r])
         hashes[:, band] = h
-    bits = (_mix(sign) & np.uint64(1)).astype(np.int64)
-    half = 1 << np.arange(62, dtype=np.int64)
     offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-    return {
-        "key": pa.array(keys, pa.binary()),
-        "bands": pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel().view(np.int64))),
-        "s1": pa.array((bits[:, :62] * half).sum(1), pa.int64()),
-        "s2": pa.array((bits[:, 62:124] * half).sum(1), pa.int64()),
-    }
+    return {"key": pa.array(keys, pa.binary()), "bands": pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel().view(np.int64)))}
 
 
 def _elements(b: pa.RecordBatch) -> dict:
-    sets = [np.sort((shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1).to_pylist()]
-    return {"key": b.column(0), "elements": pa.array(sets, pa.binary())}
+    return {"key": b.column(0), "elements": pa.array([tokens(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())}
 
 
-def weighted_jaccard(a: bytes, b: bytes) -> float:
-    (ea, ca), (eb, cb) = (np.unique(np.frombuffer(x, "<u4"), return_counts=True) for x in (a, b))
-    _, i, j = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-    both = np.minimum(ca[i], cb[j]).sum()
-    return float(both / (ca.sum() + cb.sum() - both))
+def similar(n_x: int, n_y: int, apart: int) -> bool:
+    """Whether sets of these sizes, with so many elements in just one of them, have a Jaccard similarity of THRESHOLD or more."""
+    return n_x + n_y - apart >= THRESHOLD * (n_x + n_y + apart)
 
 
-def _similar(b: pa.RecordBatch) -> dict:
-    near = [weighted_jaccard(x, y) >= THRESHOLD for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-    keep = pa.array(near, pa.bool_())
-    return {"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)}
+def _differences(b: pa.RecordBatch) -> dict:
+    """Of node and leader: whether they are similar, their sizes, and the elements that just one of them has."""
+    near, sizes, of, apart = [], [], [], []
+    for x, y in zip(b.column(2), b.column(3), strict=True):
+        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        d = np.setxor1d(x, y, assume_unique=True)
+        near.append(similar(len(x), len(y), len(d)))
+        sizes.append(len(x))
+        of.append(len(y))
+        apart.append(d.view(np.int64))
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in apart])]).astype(np.int32)
+    return {
+        "key": b.column(0), "leader": b.column(1), "near": pa.array(near, pa.bool_()), "n": pa.array(sizes, pa.int64()), "n_leader": pa.array(of, pa.int64()),
+        "apart": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(apart))),
+    }
 
 
 def element_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The weighted sets of these keys, saved: made before the shuffle, as they are smaller than the texts.
+    """key and elements of the distinct texts with these keys, saved.
 
-    The join is a merge join at every size: a broadcast of the keys would only hold for small inputs.
+    Texts are shuffled rather than their sets, which are larger. The join is a
+    merge join at every size: a broadcast of the keys would only hold for small inputs.
     """
-    made = common.map_batches(texts, _elements, "key binary, elements binary")
-    return common.saved(made.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements")))
+    own = texts.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return common.saved(common.map_batches(own, _elements, "key binary, elements binary"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose whole weighted sets are similar enough."""
-    joined = pairs.join(sets.withColumnsRenamed({"key": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "elements": "y"}), "b")
-    return common.saved(common.map_batches(joined.select("a", "b", "x", "y"), _similar, "a binary, b binary"))
+def _held(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """_differences() of pairs (key, leader)."""
+    joined = pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("elements").alias("own")), "leader")
+    return common.map_batches(joined.select("key", "leader", "elements", "own"), _differences, "key binary, leader binary, near boolean, n long, n_leader long, apart array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """key, root (the least key of its component) of every key in an edge; by label propagation with jumps."""
+    """key, root (the least key of its component) of every key in an edge (a, b); by label propagation with jumps."""
     both = common.saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.saved(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("root")))
+    now = common.saved(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("root")))
     while True:
+        labels = now.select("key", "root")
         heard = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("heard"))
         step = labels.join(heard, "key").select("key", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
         jump = labels.select(F.col("key").alias("root"), F.col("root").alias("further"))
         new = common.saved(step.join(jump, "root").select("key", "old", F.least("root", "further").alias("root")))
         changed = new.where("root != old").limit(1).count()
-        labels = new.select("key", "root")
+        common.dropped(now)
+        now = new
         if not changed:
-            return labels
+            common.dropped(both)
+            return now
+
 
+def close_pairs(held: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of different components among the nodes held against one leader, none left out.
 
-def _mixed(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes of the buckets that hold several components, with their own root and the bucket's main one; saved."""
-    placed = common.saved(live.join(roots, "key", "left").select("bucket", "key", "s1", "s2", F.coalesce("root", "key").alias("root")))
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
-    return common.saved(placed.join(parts.where("parts > 1").select("bucket", F.col("main.root").alias("main")), "bucket"))
+    Nodes in another component than the leader's probe, all others answer. Of a
+    prober x and any y similar to it at least (9 |d(x)| + 9 |d(y)| - |x| - |y|) / 18
+    elements of d(x) are in d(y), by the definition of similarity; the bounds in `most`
+    follow from |d(y)| >= ||y| - |leader||, |y| <= 1.25 |x| and 9 |d(x)| > |x| + |leader|.
+    """
+    root = lambda key, name: roots.select(F.col("key").alias(key), F.col("root").alias(name))
+    named = held.join(root("key", "root"), "key", "left").join(root("leader", "main"), "leader", "left")
+    named = named.select("leader", "key", "n", "n_leader", "apart", F.coalesce("root", "key").alias("root"), (F.coalesce("root", "key") != F.coalesce("main", "leader")).alias("asks"))
+    named = common.saved(named)
+    open_ = named.groupBy("leader").agg(F.max("asks").alias("asked"), F.count("*").alias("nodes")).where("asked AND nodes > 1").select("leader")
+    own = named.join(open_, "leader").withColumn("d", F.size("apart").cast("long"))
+    # a difference as long as that shares at least so many elements
+    answer = F.greatest(F.lit(1), F.ceil((9 * F.col("d") + F.col("n_leader") + 1 - F.col("n")) / 18), F.ceil(F.col("d") - F.col("n") / 4))
+    ask = F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("n_leader")) / 18), F.ceil(F.col("d") - F.col("n") / 4))
+    own = common.saved(own.withColumns({"answers": F.greatest(F.lit(0), F.col("d") - answer + 1), "probes": F.when(F.col("asks"), F.greatest(F.lit(0), F.col("d") - ask + 1)).otherwise(0)}))
+    spread = own.select("leader", "key", F.explode("apart").alias("element"))
+    often = spread.groupBy("leader", "element").agg(F.count("*").alias("often"))
+    placed = spread.join(often, ["leader", "element"]).groupBy("leader", "key").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("rare"))
+    ranked = common.saved(own.drop("apart").join(placed, ["leader", "key"]))
+
+    def first(count: str, prefix: str) -> DataFrame:
+        mine = F.filter(F.slice("rare", F.lit(1), F.col(count).cast("int")), lambda e: e["often"] > 1)
+        return ranked.where(F.col(count) > 0).select("leader", F.explode(F.transform(mine, lambda e: e["element"])).alias("element"), *(F.col(c).alias(f"{prefix}_{c}") for c in ("key", "root", "n", "d", "asks")))
+
+    possible = F.expr("x_root != y_root AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND 9 * abs(x_d - y_d) <= x_n + y_n AND (NOT y_asks OR x_key < y_key)")
+    met = first("probes", "x").join(first("answers", "y"), ["leader", "element"]).where(possible)
+    pairs = common.saved(met.select(F.least("x_key", "y_key").alias("key"), F.greatest("x_key", "y_key").alias("leader")).distinct())
+    return common.saved(_held(pairs, sets).where("near").select(F.col("key").alias("a"), F.col("leader").alias("b")))
+
+
+def node_roots(texts: DataFrame) -> DataFrame:
+    """key, root of the keys (digests) of texts that have a near copy; texts are (key, text), each with a word."""
+    sign = common.map_batches(texts, _banded, "key binary, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
+    spread = common.saved(sign.select("key", F.explode("bands").alias("bucket")))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("places")).where("places > 1")
+    live = common.saved(spread.join(sizes, "bucket"))
+    reach = live.groupBy("key").agg(F.sum("places").alias("reach"))
+    led = live.join(reach, "key").groupBy("bucket").agg(F.max(F.struct("reach", "key")).alias("l")).select("bucket", F.col("l.key").alias("leader"))
+    star = live.join(led, "bucket").where("key != leader").select("key", "leader").distinct()
+    sets = element_sets(texts, live.select("key").distinct())
+    held = common.saved(_held(star, sets))
+    roots = components(held.where("near").select(F.col("key").alias("a"), F.col("leader").alias("b")))
+    more = close_pairs(held, roots, sets)
+    common.dropped(spread, live)
+    if not more.limit(1).count():
+        return roots
+    root = lambda side: roots.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root"))
+    ends = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    merged = components(ends).select(F.col("key").alias("old"), F.col("root").alias("new"))
+    nodes = roots.select("key", "root").union(ends.select("a", "a").union(ends.select("b", "b"))).distinct()
+    return nodes.join(merged, nodes["root"] == merged["old"], "left").select("key", F.coalesce("new", "root").alias("root")).distinct()
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _key (digest of the text), class_id and n_copies of every row.
+    """_id, _key (digest of the text), _root (of the class), _blank, class_id and n_copies of every row.
 
-    class_id is the least id of the row's class: the component of texts linked
-    by weighted Jaccard similarity of at least 0.8. Texts without a word
+    A class is a component of texts linked by a weighted Jaccard similarity of
+    at least 0.8; class_id is the least id of its rows. Texts without a word
     (null, empty, white space) are alone: their class is their own id. Texts of
     under five words are similar only if they are the same words. Null ids are
-    ignored for the least id; a class of null ids only has a null class_id.
-    Repeated rows are copies. An empty table gives no rows.
+    ignored for the least id; a class of null ids only has a null class_id. Where
+    ids repeat with different texts, two classes can have the same class_id, but
+    not the same _root. Repeated rows are copies. Very long texts are taken
+    whole. An empty table gives no rows. Only the two named columns are read, so
+    no other column can clash.
     """
-    text = F.col(f"`{text_col}`")
-    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    text = common.quoted(text_col)
+    rows = df.select(common.quoted(id_col).alias("_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     texts = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", "text")
-    sign = common.map_batches(texts, _banded, "key binary, bands array<long>, s1 long, s2 long").groupBy("key").agg(*(F.first(c).alias(c) for c in ("bands", "s1", "s2")))
-    spread = common.saved(sign.select("key", "s1", "s2", F.explode("bands").alias("bucket")))
-    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    live = common.saved(spread.join(sizes, "bucket"))
-    weight = live.groupBy("key").agg(F.sum("n").alias("reach"))
-    led = live.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("reach", "key", "s1", "s2")).alias("l"))
-    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2"))) <= FAR_BITS
-    leaders = led.select("bucket", F.col("l.key").alias("other"), F.col("l.s1").alias("t1"), F.col("l.s2").alias("t2"))
-    pair = (F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-    star = common.saved(live.join(leaders, "bucket").where((F.col("key") != F.col("other")) & near).select(*pair).distinct())
-    sets = element_sets(texts, live.select("key").distinct())
-    edges = verified(star, sets)
-    roots = components(edges)
-    mixed = _mixed(live, roots)
-    # second look: nodes outside their bucket's main component against the others of the bucket
-    apart = mixed.where("root != main").select("bucket", F.col("key").alias("other"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("root").alias("apart"))
-    cross = mixed.join(apart, (mixed["bucket"] == apart["bucket"]) & (F.col("root") != F.col("apart")) & ((F.col("root") == F.col("main")) | (F.col("key") < F.col("other"))) & near)
-    fresh = common.saved(cross.select(*pair).distinct().join(star, ["a", "b"], "left_anti"))
-    if fresh.limit(1).count():
-        more = verified(fresh, sets)
-        if more.limit(1).count():
-            roots = components(edges.union(more))
+    roots = node_roots(texts).select("key", "root")
     copies = rows.groupBy("key").agg(F.min("_id").alias("least"), F.count("*").alias("n"))
-    named = roots.join(copies, "key")
+    named = common.saved(roots.join(copies, "key"))
     least = named.groupBy("root").agg(F.min("least").alias("class_least"), F.sum("n").alias("class_n"))
-    named = named.join(least, "root").select("key", "class_least", "class_n")
-    whole = copies.join(named, "key", "left").select(F.col("key").alias("_key"), F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_n", "n").alias("n_copies"))
+    named = named.join(least, "root").select("key", "root", "class_least", "class_n")
+    whole = copies.join(named, "key", "left").select(F.col("key").alias("_key"), F.coalesce("root", "key").alias("_root"), F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_n", "n").alias("n_copies"))
     ids = rows.select("_id", F.col("key").alias("_key"), (F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("_blank"))
     out = ids.join(whole, "_key", "left")
-    return out.select("_id", "_key", "_blank", F.when(F.col("_blank"), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("_blank"), F.lit(1).cast("long")).otherwise(F.col("n_copies")).alias("n_copies"))
+    return out.select("_id", "_key", "_root", "_blank", F.when(F.col("_blank"), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("_blank"), F.lit(1).cast("long")).otherwise(F.col("n_copies")).alias("n_copies"))
+
+
+def _row_digest(own_id: Column, key: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), own_id.cast("string")), F.lit("null")), F.coalesce(F.hex(key), F.lit("null"))).cast("binary")))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each class: that of the least id, and of its least text digest; all columns kept.
+    """df with one row of each class: that of the least id (null ids last), and of its least text digest.
 
-    Texts without a word stay, but for rows that repeat the same id.
+    All columns are kept, whatever their names. Of rows with equal id and text
+    one stays, any of them where other columns differ. Texts without a word
+    stay, but for rows that repeat the same id and text. Null ids of one class
+    count as one class like any other. An empty table gives no rows.
     """
     found = classes(df, id_col, text_col)
-    group = F.when(F.col("_blank"), F.concat(F.lit("="), F.coalesce(F.col("_id").cast("string"), F.lit("")))).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("class_id").cast("string"), F.hex("_key"))))
-    stay = found.groupBy(group.alias("_group")).agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_key")).alias("m")).select("_group", F.col("m._id").alias("_stay_id"), F.col("m._key").alias("_stay_key"))
-    stay = common.saved(stay.drop("_group").distinct())
-    names = df.columns
-    keyed = df.withColumns({"_own_key": F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))), "_own_id": F.col(f"`{id_col}`")})
-    kept = keyed.join(stay, keyed["_own_key"].eqNullSafe(stay["_stay_key"]) & keyed["_own_id"].eqNullSafe(stay["_stay_id"]), "left_semi")
-    return kept.dropDuplicates(["_own_key", "_own_id"]).select(*(F.col(f"`{c}`") for c in names))
+    group = F.when(F.col("_blank"), F.concat_ws("|", F.lit("blank"), F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit("null")), F.coalesce(F.hex("_key"), F.lit("null")))).otherwise(F.hex("_root"))
+    best = found.groupBy(group.alias("_group")).agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_key")).alias("m"))
+    (mine,) = common.private(df, "_row")
+    stay = common.saved(best.select(_row_digest(F.col("m._id"), F.col("m._key")).alias(mine)))
+    keyed = df.withColumn(mine, _row_digest(common.quoted(id_col), F.unhex(F.md5(common.quoted(text_col).cast("binary")))))
+    return keyed.join(stay, mine, "left_semi").dropDuplicates([mine]).drop(mine)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,6 +71,77 @@ def test_near_dedup(docs, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.deduplicate(empty).count() == 0
 
 
+def weighted(text):
+    """The multiset of five-word shingles (all words, if fewer), by Python's own means."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    size = min(5, len(words))
+    return Counter(tuple(words[k : k + size]) for k in range(len(words) - size + 1)) if words else Counter()
+
+
+def brute_classes(rows):
+    """Least id of the class of every row (id, text), over all pairs of texts."""
+    texts = sorted({t for _, t in rows if weighted(t)})
+    sets = [weighted(t) for t in texts]
+    sizes = [sum(s.values()) for s in sets]
+    up = list(range(len(texts)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and top(i) != top(j):
+                both = sum(min(n, sets[j][e]) for e, n in sets[i].items() if e in sets[j])
+                if both >= 0.8 * (sizes[i] + sizes[j] - both):
+                    up[top(i)] = top(j)
+    root = {t: top(k) for k, t in enumerate(texts)}
+    least = {}
+    for i, t in rows:
+        if t in root and i is not None:
+            least[root[t]] = min(i, least.get(root[t], i))
+    return [(i, least.get(root[t]) if t in root else i) for i, t in rows]
+
+
+def almost_copies(n, size, seed):
+    """A group of n texts, most of them 0.6 to 0.9 similar to its first."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 400, size)]
+    out = [" ".join(base)]
+    for k in range(n - 1):
+        words = list(base)
+        for at in rng.integers(0, size, rng.integers(1, 4)):
+            words[at] = f"x{seed}_{rng.integers(0, 40)}"
+        if k % 5 == 0:
+            words = words[: size - int(rng.integers(1, 8))]
+        if k % 7 == 0:
+            words += [f"y{k % 3}_{j}" for j in range(6)]
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_dedup_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for seed, (n, size) in enumerate([(120, 60), (80, 45), (60, 150)]):
+        rows += [(10_000 * (seed + 1) + k, t) for k, t in enumerate(almost_copies(n, size, seed))]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_classes(rows)
+    assert sorted((r._id, r.class_id) for r in got) == sorted(want)
+    assert len({c for i, c in want if i >= 10_000}) > 40
+
+
+def test_near_dedup_ids_and_names(spark):
+    """One id with two unrelated texts keeps both; copies of null ids keep one; columns named as the operator's own stay."""
+    other = " ".join(f"word{k}" for k in range(40))
+    rows = [(5, PROSE, 1), (5, other, 2), (None, other + " z", 3), (None, other + " z", 4), (None, "a b c", 5), (None, "a b c", 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _row int").withColumn("class.id", F.lit("kept")).withColumn("KEY", F.lit(1))
+    kept = near_dedup.deduplicate(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text, r["class.id"]) for r in kept.collect()) == sorted([(5, PROSE, "kept"), (5, other, "kept"), (0, "a b c", "kept")])
+    assert sorted(r._row for r in kept.collect()) == [1, 2, 5]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -146,6 +218,37 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(table, labels.limit(0)) == {"constant": 0.0}
 
 
+def test_quality_against_plain_counts(spark, docs, empty):
+    """The whole query's base columns on sf0.001 by brute force, learned bands, and hard rows."""
+    got = {r.doc_id: r for r in registry.QUERIES["op5_quality"](spark, SF).collect()}
+    table = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(table)
+    for r in table:
+        t, g = r.text or "", got[r.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+        inside = {j for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+        lines, seen, dup = t.split("\n"), set(), 0
+        for line in lines:
+            dup += line in seen and bool(re.search(r"[^\x20\x09-\x0D]", line))
+            seen.add(line)
+        failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == (len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(inside), failed)
+        assert not (failed and g.kept)
+    assert quality.judge(empty).count() == 0 and quality.fit(docs, empty.select("doc_id", F.lit(1).alias("quality"))) == {}
+
+
+def test_learned_bands_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    table, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    bands = quality.fit(table, labels.where(~held))
+    assert len(bands) > 8
+    found = quality.judge(table.where(held), bands).join(labels, "doc_id").where("NOT base_failed")
+    share = {r.quality: (r.n, r.kept) for r in found.groupBy("quality").agg(F.count("*").alias("n"), F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[1][1] > 0.98 and share[0][1] < 0.5, share
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 16)).astype(np.float32)
@@ -167,6 +270,24 @@ def test_neighbours(spark):
         right += len(set(true) & {v for _, v, _ in found})
     assert right / (10 * len(got)) >= 0.9
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
+    assert neighbours.search(table, table.limit(0)).count() == 0
+    clash = table.where("vec_id < 300 OR vec_id IS NULL").withColumns({"id": F.lit(1), "pivot": F.lit(2), "a.b": F.lit(3), "v": F.lit(4), "rank": F.lit(5)})
+    assert neighbours.search(clash, clash.where("vec_id % 100 = 0")).count() == 30
+
+
+def test_neighbours_of_few_and_of_many_copies(spark):
+    """Fewer candidates than asked for; a vector with very many copies, repeated ids among them: exact, ties to the smaller id."""
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, neighbours.search(few, few).collect()))
+    want = [(q, k + 1, v, float(abs(q - v))) for q in range(5) for k, v in enumerate(sorted((v for v in range(5) if v != q), key=lambda v: (abs(q - v), v)))]
+    assert got == want
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0] * 8) for i in range(500)] + [(0, [1.0] * 8)] * 40 + [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(table, table.where("vec_id IN (0, 300, 1003)")).collect())
+    assert [r[2:] for r in got[:10]] == [(v, 0.0) for v in range(1, 11)]
+    assert [r[2:] for r in got[10:20]] == [(0, 0.0)] * 10
+    assert len(got) == 30
 
 
 def test_neighbours_beside_a_dense_cluster(spark):
