@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +21,7 @@ def root(spark: SparkSession) -> str:
     machine's: elsewhere they would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    shared = bool(base)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -27,7 +29,7 @@ def root(spark: SparkSession) -> str:
     own = f"{base.rstrip('/')}/spindle-{spark.sparkContext.applicationId}"
     if own not in _roots:
         _roots.add(own)
-        atexit.register(_remove, spark, own)
+        atexit.register(*((_remove, spark, own) if shared else (shutil.rmtree, own, True)))
     return own
 
 
