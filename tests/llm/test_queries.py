@@ -132,3 +132,24 @@ def test_toxicity_on_odd_tables(spark):
     out = toxicity.score(docs, model)
     assert out.columns == [*docs.columns, "toxicity_score", "toxicity_predicted"]
     assert out.count() == len(rows) and out.where("toxicity_score IS NULL OR toxicity_score NOT BETWEEN 0 AND 1").count() == 0
+
+
+def test_language_ties_long_words_and_odd_tables(spark):
+    """Equal languages go to the first in order; a word of 20,000 letters is scored whole; extra columns of clashing names are not read."""
+    rows = [(1, "the cat", "b"), (1, "the cat", "b"), (2, "the cat", "a"), (3, "x" * 20000, "a"), (3, "x" * 20000, "b"), (4, None, "a"), (None, "", None), (5, "1 2 ...", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"word": F.lit(1), "n": F.lit(2), "piece": F.lit(3), "lang_pred": F.lit("z"), "a.b": F.lit(4)})
+    langs, p = language_id.train(docs.where("doc_id IS NULL OR doc_id != 5"))
+    assert langs == ["a", "b"] and np.allclose(p[:, 0], p[:, 1])
+    p[:, 1] = p[:, 0]
+    got = [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.identify(docs, (langs, p)).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a", 0.5), (1, "a", 0.5), (2, "a", 0.5), (3, "a", 0.5), (3, "a", 0.5), (4, "und", 0.0), (None, "und", 0.0), (5, "und", 0.0)], key=str)
+
+
+def test_sharding_of_rows_that_look_alike(spark):
+    """A third of all rows alike, null ids, ids with two texts: counts at most one apart, slots gapless, sizes right."""
+    rows = [(7, "same")] * 40 + [(None, "a"), (None, None), (7, "é"), (8, "")] + [(i, f"t{i}") for i in range(100, 170)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"size": F.lit(1), "_tie": F.lit(2), "row_no": F.lit(3), "_id": F.lit(4), "a.b": F.lit(5)}).repartition(4)
+    got = sharding.shard_documents(docs, 6).collect()
+    by = {s: sorted(r.slot for r in got if r.shard == s) for s in range(6)}
+    assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(i), len((t or "").encode()) + 16) for i, t in rows)
