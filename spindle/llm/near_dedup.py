@@ -230,10 +230,12 @@ def _differences(b: pa.RecordBatch) -> dict:
 def element_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """key and elements of the distinct texts with these keys, saved.
 
-    Texts are shuffled rather than their sets, which are larger. The join is a
+    Texts are shuffled rather than their sets, which are larger; copies of a
+    text meet before the shuffle, so that a hot one is no task's load. The join is a
     merge join at every size: a broadcast of the keys would only hold for small inputs.
     """
-    own = texts.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # an inner join, as a semi-join would be pushed below the grouping
+    own = texts.groupBy("key").agg(F.first("text").alias("text")).join(keys.hint("merge"), "key")
     return common.saved(common.map_batches(own, _elements, "key binary, elements binary"))
 
 
@@ -340,7 +342,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = named.join(least, "root").select("key", "root", "class_least", "class_n")
     whole = copies.join(named, "key", "left").select(F.col("key").alias("_key"), F.coalesce("root", "key").alias("_root"), F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_n", "n").alias("n_copies"))
     ids = rows.select("_id", F.col("key").alias("_key"), (F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("_blank"))
-    out = ids.join(whole, "_key", "left")
+    # saved, so that both sides of the join are dealt anew and Spark can split the rows of a hot text
+    out = ids.join(common.saved(whole).hint("merge"), "_key", "left")
     return out.select("_id", "_key", "_root", "_blank", F.when(F.col("_blank"), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("_blank"), F.lit(1).cast("long")).otherwise(F.col("n_copies")).alias("n_copies"))
 
 
