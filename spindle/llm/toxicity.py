@@ -184,18 +184,20 @@ def score(df: DataFrame, model: dict, text_col: str = "text", keep: list[str] |
     replaced; ties do not arise; an empty table gives no rows.
     """
     keep = [c for c in keep or df.columns if c not in names]
-    inner = df.select(common.quoted(text_col).alias("text"), *(common.quoted(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    sent = [*keep, *([] if text_col in keep else [text_col])]  # the text goes to the workers once
+    inner = df.select(*(common.quoted(c).alias(f"k{i}") for i, c in enumerate(sent)))
+    at = sent.index(text_col)
 
     def run(b: pa.RecordBatch) -> dict:
-        texts = b.column(0).to_pylist()
+        texts = b.column(at).to_pylist()
         if "constant" in model:
             s = np.full(len(texts), model["constant"])
         else:
             scorer = _scorer(model["lexicon"])
             s = np.interp(model["trees"].margin(np.array([scorer.features(t) for t in texts])), *model["knots"])
-        return {f"k{i}": b.column(i + 1) for i in range(len(keep))} | {"s": pa.array(s, pa.float64()), "p": pa.array((s >= 0.5).astype(np.int32), pa.int32())}
+        return {f"k{i}": b.column(i) for i in range(len(keep))} | {"s": pa.array(s, pa.float64()), "p": pa.array((s >= 0.5).astype(np.int32), pa.int32())}
 
-    schema = T.StructType([*inner.schema.fields[1:], T.StructField("s", T.DoubleType()), T.StructField("p", T.IntegerType())])
+    schema = T.StructType([*inner.schema.fields[: len(keep)], T.StructField("s", T.DoubleType()), T.StructField("p", T.IntegerType())])
     out = common.map_batches(inner, run, schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("s").alias(names[0]), F.col("p").alias(names[1]))
 
