@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from . import common
 
@@ -75,14 +76,17 @@ def few_copies(rows: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= 2 * k).drop("_r")
 
 
-def posted(rows: DataFrame, p: np.ndarray, files: int, keep: int) -> DataFrame:
-    """A row (pivot, id, vector, order) for each of the nearest `files` pivots of each vector; order holds the nearest `keep`."""
+def posted(rows: DataFrame, p: np.ndarray, files: int, keep: int, kind: str) -> DataFrame:
+    """A row (pivot, id, vector, order) for each of the nearest `files` pivots of each vector; order holds the nearest `keep`.
+
+    Vectors are kept in the numbers they came in (kind <f4 or <f8), which lose nothing.
+    """
 
     def run(b: pa.RecordBatch) -> dict:
         x = np.array(b.column(1).to_pylist(), np.float64)
         order = places(x, p, keep)
         each = np.repeat(np.arange(len(x)), files)
-        raw, nearest = [v.tobytes() for v in x], [o.tobytes() for o in order]
+        raw, nearest = [v.tobytes() for v in x.astype(kind)], [o.tobytes() for o in order]
         return {
             "pivot": pa.array(order[:, :files].ravel().astype(np.int32)), "id": b.column(0).take(pa.array(each)),
             "vector": pa.array([raw[i] for i in each], pa.binary()), "order": pa.array([nearest[i] for i in each], pa.binary()),
@@ -150,7 +154,7 @@ def search_block(pivot: int, q_ids, q, asked, ids, x, order, n_pivots: int, file
         yield i, ids[own[best]], d[best]
 
 
-def _met(index: DataFrame, asked: DataFrame, p: np.ndarray, files: int, k: int, share: float) -> DataFrame:
+def _met(index: DataFrame, asked: DataFrame, p: np.ndarray, files: int, k: int, share: float, kind: str) -> DataFrame:
     """query_id, vec_id, score of the nearest that each query finds in each block of the files it reads."""
     q = blocks(asked, len(p), QUERY_BLOCK, "q")
     dim, n_pivots = p.shape[1], len(p)
@@ -158,7 +162,8 @@ def _met(index: DataFrame, asked: DataFrame, p: np.ndarray, files: int, k: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                v_ids, v, v_orders, q_ids, qs, q_orders = (np.frombuffer(b.column(j)[r].as_buffer(), t) for j, t in enumerate(("<i8", "<f8", "<i2") * 2, 1))
+                v_ids, v, v_orders, q_ids, qs, q_orders = (np.frombuffer(b.column(j)[r].as_buffer(), t) for j, t in enumerate(("<i8", kind, "<i2") * 2, 1))
+                v, qs = v.astype(np.float64), qs.astype(np.float64)
                 found = [
                     (np.full(len(i), q_ids[m]), i, d)
                     for m, i, d in search_block(b.column(0)[r].as_py(), q_ids, qs.reshape(-1, dim), q_orders.reshape(len(q_ids), -1), v_ids, v.reshape(-1, dim), v_orders.reshape(len(v_ids), -1), n_pivots, files, k, share)
@@ -188,13 +193,14 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
     if not len(p):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     files, probed, keep = min(n_posted, len(p)), min(n_probed, len(p)), min(NEAREST, len(p))
-    index = blocks(posted(few_copies(rows, k), p, files, max(keep, files)), len(p), BLOCK, "v")
+    kind = "<f4" if df.schema[vec_col].dataType == ArrayType(FloatType(), df.schema[vec_col].dataType.containsNull) else "<f8"
+    index = blocks(posted(few_copies(rows, k), p, files, max(keep, files), kind), len(p), BLOCK, "v")
     asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    found = _met(index, posted(asked, p, probed, max(keep, probed)), p, files, k, RERANK)
+    found = _met(index, posted(asked, p, probed, max(keep, probed), kind), p, files, k, RERANK, kind)
     full = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
     short = common.saved(asked.join(full, "id", "left_anti"))
     if short.limit(1).count():
-        again = _met(index, posted(short, p, len(p), len(p)), p, files, k, 1.0)
+        again = _met(index, posted(short, p, len(p), len(p), kind), p, files, k, 1.0, kind)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(again)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
