@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, language_id, mixing, near_dedup, neighbours, pii, quality, sharding, token_counts, toxicity
+from . import byte_bpe, chat, importance, language_id, mixing, near_dedup, neighbours, pii, quality, sharding, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,7 +17,10 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_mixing": mixing.op10_mixing,
+    "op11_chat": chat.op11_chat,
+    "op12_importance": importance.op12_importance,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL}
+ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL, "op11_chat": chat.OP11_SQL, "op12_importance": importance.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
