@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindle.jobs import analytics, sweep
 from spindle.operators import matrix, schedule, spmv, validate
-from spindle.sources import mtx, results, scratch
+from spindle.sources import mtx, mtx_format, results, scratch
 
 WORKERS, CHUNK = 8, 100
 #: Components of a row of embeddings.
@@ -276,9 +276,7 @@ def mm_banner(spark, d):
 def _written(spark, d) -> str:
     """The matrix as Matrix Market text in the scratch folder that the cluster shares."""
     path = scratch.folder(spark)
-    coo = a_matrix(spark, d)
-    nnz, rows, cols = coo.count(), n_rows(spark, d), table(spark, d, "part").count()
-    mtx.write(coo, path, mtx.Meta("coordinate", "integer", "general", rows, cols, nnz))
+    mtx_format.save(a_matrix(spark, d), path, field="integer", rows=n_rows(spark, d), cols=table(spark, d, "part").count())
     return path
 
 
@@ -294,37 +292,37 @@ def _typed(spark, head: str, body: DataFrame) -> str:
 
 @query(f"WITH {COO} SELECT 'coordinate' AS format, 'integer' AS field, 'general' AS symmetry, (SELECT count(*) FROM orders) AS n_rows, (SELECT count(*) FROM part) AS n_cols, (SELECT count(*) FROM coo) AS nnz")
 def mm_size(spark, d):
-    meta = mtx.header(spark, _written(spark, d))[0]
+    meta, _ = mtx_format.header(_written(spark, d))
     return spark.createDataFrame([(meta.format, meta.field, meta.symmetry, meta.n_rows, meta.n_cols, meta.nnz)], "format string, field string, symmetry string, n_rows long, n_cols long, nnz long")
 
 
 @query(f"WITH {COO} SELECT i + 1 AS i, j + 1 AS j, v FROM coo")
 def mm_coo(spark, d):
-    return mtx.read(spark, _written(spark, d), zero_based=False)[1]
+    return mtx_format.load(spark, _written(spark, d), zero_based=False)[1]
 
 
 @query(f"WITH {COO} SELECT i, j, v FROM coo")
 def mm_coo_zero_based(spark, d):
-    return mtx.read(spark, _written(spark, d))[1]
+    return mtx_format.load(spark, _written(spark, d))[1]
 
 
 def _dense(spark, d) -> str:
     """The embeddings as a dense array: a column for each vector, as arrays are written by columns."""
     cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("j"), F.posexplode("embedding").alias("i", "v")).select("i", "j", F.col("v").cast("double").alias("v"))
     path = scratch.folder(spark)
-    mtx.write(cells, path, mtx.Meta("array", "real", "general", EMBEDDED, table(spark, d, "embeddings").count(), 0))
+    mtx_format.save(cells, path, matrix="array", rows=EMBEDDED)
     return path
 
 
 @query(f"SELECT 'array' AS format, CAST({EMBEDDED} AS BIGINT) AS n_rows, count(*) AS n_cols, {EMBEDDED} * count(*) AS cells FROM embeddings")
 def mm_array_size(spark, d):
-    meta = mtx.header(spark, _dense(spark, d))[0]
+    meta, _ = mtx_format.header(_dense(spark, d))
     return spark.createDataFrame([(meta.format, meta.n_rows, meta.n_cols, meta.nnz)], "format string, n_rows long, n_cols long, cells long")
 
 
 @query("SELECT CAST(unnest(range(0, len(embedding))) AS BIGINT) AS i, vec_id AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings")
 def mm_array(spark, d):
-    return mtx.read(spark, _dense(spark, d))[1]
+    return mtx_format.load(spark, _dense(spark, d))[1]
 
 
 # the lower triangle: of each coordinate the greater number first
@@ -350,12 +348,12 @@ def mm_symmetric(spark, d):
 
 @query(f"WITH {COO}, {LOWER} SELECT i, j, 1.0::DOUBLE AS v FROM low")
 def mm_pattern(spark, d):
-    return mtx.read(spark, _triangle(spark, d, "pattern symmetric", []))[1]
+    return mtx_format.load(spark, _triangle(spark, d, "pattern symmetric", []))[1]
 
 
 @query(f"WITH {COO}, {LOWER} SELECT i, j, v, v + 0.5 AS im FROM low UNION ALL SELECT j, i, v, -(v + 0.5) FROM low WHERE i <> j")
 def mm_hermitian(spark, d):
-    return mtx.read(spark, _triangle(spark, d, "complex hermitian", [F.col("v").cast("string"), (F.col("v") + 0.5).cast("string")]), expand_symmetry=True)[1]
+    return mtx_format.load(spark, _triangle(spark, d, "complex hermitian", [F.col("v").cast("string"), (F.col("v") + 0.5).cast("string")]), expand_symmetry=True)[1]
 
 
 RESULTS = "SELECT event_id, user_id, ts, 'spmv_' || lower(event_type) AS \"Executable\", CAST(user_id % 8 + 1 AS INTEGER) AS \"Threads\", CAST(event_id % 10 + 1 AS INTEGER) AS \"Run\", CAST(10 * (event_id % 3 + 1) AS INTEGER) AS c, value AS \"Time\" FROM events"
