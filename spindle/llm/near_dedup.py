@@ -14,10 +14,12 @@ bucket places), which settles groups of near copies without their pairs. What is
 left are nodes in another component than their leader's. With d(x) the symmetric
 difference of x and the leader, two sets differ by |d(x)| + |d(y)| - 2 |d(x) n d(y)|,
 so a node that is not similar to the leader can only be similar to a node whose
-difference shares elements with its own. How many follows from the sizes; the
-rarest elements of each difference, just enough of them that one must be shared,
-are joined. That finds every similar pair of a bucket and stays small where many
-texts of a group are almost similar, as their differences are their own.
+difference shares elements with its own. How many follows from the sizes; of the
+elements that more than one component has the rarest of each difference, just
+enough of them that one must be shared, are joined, components first and then
+nodes of different ones. That finds every similar pair of a bucket and stays
+small where many texts of a group are almost similar, as their differences are
+their own, and where large groups of copies share a bucket.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
+#: Factor of the bands of differences: somewhat over the 1.25 that similar nodes can be apart by.
+BAND = 1.26
 #: Words hashed by one prefix sum, and bytes beyond which a word is hashed by itself.
 WORDS_AT_ONCE, LONG_WORD = 65_536, 256
 #: Elements handled at once: their arrays stay in a core's cache.
@@ -263,60 +267,104 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
-def close_pairs(held: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Similar pairs (a, b) of different components among the nodes held against one leader, none left out.
+def _band(total: Column) -> Column:
+    return F.floor(F.log(total) / math.log(BAND)).cast("int")
 
-    Nodes in another component than the leader's probe, all others answer. Of a
-    prober x and any y similar to it at least (9 |d(x)| + 9 |d(y)| - |x| - |y|) / 18
-    elements of d(x) are in d(y), by the definition of similarity; the bounds in `most`
-    follow from |d(y)| >= ||y| - |leader||, |y| <= 1.25 |x| and 9 |d(x)| > |x| + |leader|.
+
+def ranked_differences(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes held against leaders that have a node of another component: leader, key, root, n, d, asks, rare, band.
+
+    rare has the elements of the node's difference that nodes of two or more
+    components have under this leader, the least frequent first: only such can be
+    shared by a pair that is looked for. asks: the node is of another component
+    than its leader. band: place of d + |leader| on a scale of factor BAND.
     """
     root = lambda key, name: roots.select(F.col("key").alias(key), F.col("root").alias(name))
     named = held.join(root("key", "root"), "key", "left").join(root("leader", "main"), "leader", "left")
-    named = named.select("leader", "key", "n", "n_leader", "apart", F.coalesce("root", "key").alias("root"), (F.coalesce("root", "key") != F.coalesce("main", "leader")).alias("asks"))
-    named = common.saved(named)
+    named = common.saved(named.select("leader", "key", "n", "n_leader", "apart", F.coalesce("root", "key").alias("root"), (F.coalesce("root", "key") != F.coalesce("main", "leader")).alias("asks")))
     open_ = named.groupBy("leader").agg(F.max("asks").alias("asked"), F.count("*").alias("nodes")).where("asked AND nodes > 1").select("leader")
     own = named.join(open_, "leader").withColumn("d", F.size("apart").cast("long"))
-    # a difference as long as that shares at least so many elements
-    answer = F.greatest(F.lit(1), F.ceil((9 * F.col("d") + F.col("n_leader") + 1 - F.col("n")) / 18), F.ceil(F.col("d") - F.col("n") / 4))
-    ask = F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("n_leader")) / 18), F.ceil(F.col("d") - F.col("n") / 4))
-    own = common.saved(own.withColumns({"answers": F.greatest(F.lit(0), F.col("d") - answer + 1), "probes": F.when(F.col("asks"), F.greatest(F.lit(0), F.col("d") - ask + 1)).otherwise(0)}))
-    spread = own.select("leader", "key", F.explode("apart").alias("element"))
-    often = spread.groupBy("leader", "element").agg(F.count("*").alias("often"))
-    placed = spread.join(often, ["leader", "element"]).groupBy("leader", "key").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("rare"))
-    ranked = common.saved(own.drop("apart").join(placed, ["leader", "key"]))
+    spread = common.saved(own.select("leader", "key", "root", F.explode("apart").alias("element")))
+    shared = spread.groupBy("leader", "element").agg(F.count("*").alias("often"), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other")
+    placed = spread.join(shared, ["leader", "element"]).groupBy("leader", "key").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("rare"))
+    out = common.saved(own.drop("apart").join(placed, ["leader", "key"]).withColumn("band", _band(F.col("d") + F.col("n_leader"))))
+    common.dropped(named, spread)
+    return out
+
+
+def meetings(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of components, and of their nodes, that meet at an element of a leader, before any condition.
+
+    Nodes of another component than the leader's probe, all others answer. Of a
+    prober x and any y similar to it at least (9 |d(x)| + 9 |d(y)| - |x| - |y|) / 18
+    elements of d(x) are in d(y), by the definition of similarity; the bounds below
+    follow from |d(y)| >= ||y| - |leader||, |y| <= 1.25 |x| and 9 |d(x)| > |x| + |leader|.
+    As |d(x)| and |d(y)| differ by (|x| + |y|) / 9 at most, d + |leader| of the two differ
+    by a factor of 1.25 at most: bands more than one apart never meet. Components
+    meet before their nodes do, so that no two nodes of one component are ever paired.
+    """
+    m, d, n, of = F.size("rare"), F.col("d"), F.col("n"), F.col("n_leader")
+    ask = F.greatest(F.lit(1), F.ceil((9 * d - n - of) / 18), F.ceil(d - n / 4))
+    answer = F.greatest(F.lit(1), F.ceil((9 * d + of + 1 - n) / 18), F.ceil(d - n / 4), F.ceil((9 * (d + F.floor(F.pow(F.lit(BAND), F.col("at")) * (1 - 1e-9)) - of) - 2.25 * n) / 18))
+    around = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("at")
 
-    def first(count: str, prefix: str) -> DataFrame:
-        mine = F.filter(F.slice("rare", F.lit(1), F.col(count).cast("int")), lambda e: e["often"] > 1)
-        return ranked.where(F.col(count) > 0).select("leader", F.explode(F.transform(mine, lambda e: e["element"])).alias("element"), *(F.col(c).alias(f"{prefix}_{c}") for c in ("key", "root", "n", "d", "asks")))
+    def met(rows: DataFrame, least: Column, prefix: str) -> DataFrame:
+        first = F.slice("rare", F.lit(1), F.greatest(F.lit(0), m - least + 1).cast("int"))
+        rows = rows.withColumn("first", first).where(F.size("first") > 0)
+        return common.saved(rows.select("leader", "at", F.explode(F.transform("first", lambda e: e["element"])).alias("element"), *(F.col(c).alias(f"{prefix}_{c}") for c in ("key", "root", "n", "d", "asks"))))
 
-    possible = F.expr("x_root != y_root AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND 9 * abs(x_d - y_d) <= x_n + y_n AND (NOT y_asks OR x_key < y_key)")
-    met = first("probes", "x").join(first("answers", "y"), ["leader", "element"]).where(possible)
-    pairs = common.saved(met.select(F.least("x_key", "y_key").alias("key"), F.greatest("x_key", "y_key").alias("leader")).distinct())
-    return common.saved(_held(pairs, sets).where("near").select(F.col("key").alias("a"), F.col("leader").alias("b")))
+    place = ["leader", "element", "at"]
+    asking = met(ranked.where("asks").withColumn("at", F.col("band")), ask, "x")
+    answering = met(ranked.select("*", around), answer, "y")
+    groups = lambda rows, root: rows.select(*place, root).distinct()
+    across = groups(asking, "x_root").join(groups(answering, "y_root"), place)
+    nodes = across.where("x_root != y_root").join(asking, [*place, "x_root"]).join(answering, [*place, "y_root"])
+    return across, nodes
 
 
-def node_roots(texts: DataFrame) -> DataFrame:
-    """key, root of the keys (digests) of texts that have a near copy; texts are (key, text), each with a word."""
+def close_pairs(held: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of different components among the nodes held against one leader, none left out."""
+    ranked = ranked_differences(held, roots)
+    _, met = meetings(ranked)
+    possible = F.expr("5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND 9 * abs(x_d - y_d) <= x_n + y_n AND (NOT y_asks OR x_key < y_key)")
+    pairs = common.saved(met.where(possible).select(F.least("x_key", "y_key").alias("key"), F.greatest("x_key", "y_key").alias("leader")).distinct())
+    out = common.saved(_held(pairs, sets).where("near").select(F.col("key").alias("a"), F.col("leader").alias("b")))
+    common.dropped(ranked, pairs)
+    return out
+
+
+def led(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The leader round over texts (key, text), each with a word: nodes held against their buckets' leaders, components of similar ones, sets; all saved."""
     sign = common.map_batches(texts, _banded, "key binary, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
     spread = common.saved(sign.select("key", F.explode("bands").alias("bucket")))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("places")).where("places > 1")
     live = common.saved(spread.join(sizes, "bucket"))
+    common.dropped(spread)
     reach = live.groupBy("key").agg(F.sum("places").alias("reach"))
-    led = live.join(reach, "key").groupBy("bucket").agg(F.max(F.struct("reach", "key")).alias("l")).select("bucket", F.col("l.key").alias("leader"))
-    star = live.join(led, "bucket").where("key != leader").select("key", "leader").distinct()
+    leaders = live.join(reach, "key").groupBy("bucket").agg(F.max(F.struct("reach", "key")).alias("l")).select("bucket", F.col("l.key").alias("leader"))
+    star = live.join(leaders, "bucket").where("key != leader").select("key", "leader").distinct()
     sets = element_sets(texts, live.select("key").distinct())
     held = common.saved(_held(star, sets))
-    roots = components(held.where("near").select(F.col("key").alias("a"), F.col("leader").alias("b")))
+    common.dropped(live)
+    return held, components(held.where("near").select(F.col("key").alias("a"), F.col("leader").alias("b"))), sets
+
+
+def node_roots(texts: DataFrame) -> DataFrame:
+    """key, root of the keys (digests) of texts that have a near copy, saved; texts are (key, text), each with a word."""
+    held, roots, sets = led(texts)
     more = close_pairs(held, roots, sets)
-    common.dropped(spread, live)
+    common.dropped(held, sets)
     if not more.limit(1).count():
+        common.dropped(more)
         return roots
     root = lambda side: roots.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root"))
-    ends = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    merged = components(ends).select(F.col("key").alias("old"), F.col("root").alias("new"))
+    ends = common.saved(more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    joined = components(ends)
+    merged = joined.select(F.col("key").alias("old"), F.col("root").alias("new"))
     nodes = roots.select("key", "root").union(ends.select("a", "a").union(ends.select("b", "b"))).distinct()
-    return nodes.join(merged, nodes["root"] == merged["old"], "left").select("key", F.coalesce("new", "root").alias("root")).distinct()
+    out = common.saved(nodes.join(merged, nodes["root"] == merged["old"], "left").select("key", F.coalesce("new", "root").alias("root")).distinct())
+    common.dropped(more, ends, joined, roots)
+    return out
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,15 +383,19 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = common.quoted(text_col)
     rows = df.select(common.quoted(id_col).alias("_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     texts = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("key", "text")
-    roots = node_roots(texts).select("key", "root")
+    found = node_roots(texts)
+    roots = found.select("key", "root")
     copies = rows.groupBy("key").agg(F.min("_id").alias("least"), F.count("*").alias("n"))
-    named = common.saved(roots.join(copies, "key"))
-    least = named.groupBy("root").agg(F.min("least").alias("class_least"), F.sum("n").alias("class_n"))
-    named = named.join(least, "root").select("key", "root", "class_least", "class_n")
+    known = common.saved(roots.join(copies, "key"))
+    common.dropped(found)
+    least = known.groupBy("root").agg(F.min("least").alias("class_least"), F.sum("n").alias("class_n"))
+    named = known.join(least, "root").select("key", "root", "class_least", "class_n")
     whole = copies.join(named, "key", "left").select(F.col("key").alias("_key"), F.coalesce("root", "key").alias("_root"), F.coalesce("class_least", "least").alias("class_id"), F.coalesce("class_n", "n").alias("n_copies"))
     ids = rows.select("_id", F.col("key").alias("_key"), (F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("_blank"))
     # saved, so that both sides of the join are dealt anew and Spark can split the rows of a hot text
-    out = ids.join(common.saved(whole).hint("merge"), "_key", "left")
+    whole = common.saved(whole)
+    common.dropped(known)
+    out = ids.join(whole.hint("merge"), "_key", "left")
     return out.select("_id", "_key", "_root", "_blank", F.when(F.col("_blank"), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("_blank"), F.lit(1).cast("long")).otherwise(F.col("n_copies")).alias("n_copies"))
 
 
