@@ -26,14 +26,18 @@ from . import common
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Components of greater magnitude raise: their squared distances might not fit 64 bits.
 MOST = 1 << 26
-#: Split points of a node, entries of a leaf, and the outward rounding of roots.
-DEGREE, LEAF, OUTWARD = 16, 16, 1e-12
+#: Split points of a node (chosen from thrice as many, so that few are outliers), entries of a leaf, and the outward rounding of roots.
+DEGREE, LEAF, OUTWARD = 16, 32, 1e-12
 #: Parts searched at once.
 AT_ONCE = 4096
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact squared distances of all x (n, w) to all y (m, w)."""
+    """Exact squared distances of all x (n, w) to all y (m, w): whole numbers, as floats where these hold every step exactly."""
+    most = max(int(np.abs(x).max(initial=0)), int(np.abs(y).max(initial=0)))
+    if 4 * x.shape[1] * most * most < 1 << 53:
+        x, y = x.astype(np.float64), y.astype(np.float64)
+        return np.einsum("nw,nw->n", x, x)[:, None] + np.einsum("mw,mw->m", y, y) - 2 * (x @ y.T)
     d = x[:, None, :] - y[None, :, :]
     return np.einsum("nmw,nmw->nm", d, d)
 
@@ -51,11 +55,12 @@ class Gnat:
         """An array of indexes (a leaf), or (split indexes, low, high, children): ranges by split point and child."""
         if len(own) <= max(self.leaf, self.degree):
             return own
-        splits = [int(own[0])]
-        apart = squared(self.points[own], self.points[splits])[:, 0]
+        some = own[np.linspace(0, len(own) - 1, min(len(own), 3 * self.degree)).astype(int)]
+        splits = [int(some[0])]
+        apart = squared(self.points[some], self.points[splits])[:, 0]
         while len(splits) < self.degree:
-            splits.append(int(own[int(apart.argmax())]))
-            apart = np.minimum(apart, squared(self.points[own], self.points[splits[-1:]])[:, 0])
+            splits.append(int(some[int(apart.argmax())]))
+            apart = np.minimum(apart, squared(self.points[some], self.points[splits[-1:]])[:, 0])
         splits = np.unique(splits)
         rest = np.setdiff1d(own, splits)
         far = squared(self.points[splits], self.points[rest])
@@ -92,12 +97,13 @@ class Gnat:
             return
         splits, low, high, children = node
         d = self._measure(splits, rows, queries, best, index)
-        order = np.argsort(d, 1, kind="stable")
         root = np.sqrt(d.astype(np.float64))
         least, most = root * (1 - OUTWARD), root * (1 + OUTWARD)
-        for turn in range(len(splits)):  # the child of the nearest split point first
+        home = d.argmin(1)
+        # first the child of each query's nearest split point, which makes its reach short for the others
+        for first in (True, False):
             for j, child in enumerate(children):
-                mine = np.flatnonzero(order[:, turn] == j)
+                mine = np.flatnonzero((home == j) == first)
                 if child is None or not len(mine):
                     continue
                 reach = (np.sqrt(best[rows[mine]].astype(np.float64)) * (1 + OUTWARD))[:, None]
