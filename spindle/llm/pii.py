@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from . import boosting, common
 
 PRECISION = 0.9
-BLOCK = 64
+#: Array elements of a block of a scan, and code points of a chunk that texts are cut by.
+BLOCK, CHUNK = 64, 1024
 #: Base patterns in the form that Java's engine runs in linear time and without
 #: recursion: a match cannot start inside a run whose start failed (\G: right
 #: after the match before).
@@ -52,19 +53,42 @@ FEATURES = ("gen", "length", "digits", "lower", "hex", "seps", "marks", "cue", "
 CANDIDATE = "struct<gen:int,length:int,digits:int,lower:int,hex:int,seps:int,marks:int,cue:int,prev:int,next:int,start:bigint,end:bigint,y:int>"
 
 
-def _starts(steps: Column) -> Column:
-    """Exclusive prefix sums of an array, by blocks: n * BLOCK + (n / BLOCK)^2 steps, never n^2."""
+def _before(steps: Column, fold, zero: Column) -> Column:
+    """Exclusive prefix folds of an array, by blocks: n * BLOCK + (n / BLOCK)^2 steps, never n^2."""
     n = F.size(steps)
-    plus = lambda a, b: a + b
-    zero = F.lit(0).cast("long")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), zero, plus))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), zero, fold))
     before = F.aggregate(
         blocks,
-        F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out")),
+        F.struct(zero.alias("now"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("out")),
+        lambda acc, x: F.struct(fold(acc["now"], x).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.when(n > 0, F.transform(F.array(before), lambda b: F.transform(steps, lambda _, i: F.get(b, F.floor(i / BLOCK).cast("int")) + F.aggregate(F.slice(steps, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), zero, plus)))[0]).otherwise(F.array().cast("array<bigint>"))
+    own = F.transform(F.array(before), lambda b: F.transform(steps, lambda _, i: fold(F.get(b, F.floor(i / BLOCK).cast("int")), F.aggregate(F.slice(steps, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), zero, fold))))[0]
+    return F.when(n > 0, own).otherwise(F.filter(F.array(zero), lambda _: F.lit(False)))
+
+
+def _starts(steps: Column) -> Column:
+    return _before(steps, lambda a, b: a + b, F.lit(0).cast("long"))
+
+
+def _swept(df: DataFrame, spans: str, against: list, hits, out: str) -> DataFrame:
+    """Adds `out`: those of the array `spans`, sorted by start, that hits(place, k -> true) does not call overlapped.
+
+    against: tests of a span, each of which names a set of spans; a span is
+    overlapped by a set if the greatest end of the set's spans before it lies
+    behind its start, or the least start of those after it before its end.
+    """
+    low, high = F.lit(-1).cast("long"), F.lit(1 << 62).cast("long")
+    both = lambda pick, at: F.struct(*(F.when(test(at), pick(at)).alias(f"s{k}") for k, test in enumerate(against)))
+    each = lambda f, a, b: F.struct(*(f(a[f"s{k}"], b[f"s{k}"]).alias(f"s{k}") for k in range(len(against))))
+    of = lambda value: F.struct(*(value.alias(f"s{k}") for k in range(len(against))))
+    e, b, m, n = (f"_{c}_{out}" for c in "ebmn")
+    filled = lambda x, value: F.transform(x, lambda s: F.struct(*(F.coalesce(s[f"s{k}"], value).alias(f"s{k}") for k in range(len(against)))))
+    df = df.withColumn(e, filled(F.transform(spans, lambda s: both(lambda x: x["end"], s)), low)).withColumn(b, F.reverse(filled(F.transform(spans, lambda s: both(lambda x: x["start"], s)), high)))
+    df = df.withColumn(m, _before(F.col(e), lambda x, y: each(F.greatest, x, y), of(low))).withColumn(n, F.reverse(_before(F.col(b), lambda x, y: each(F.least, x, y), of(high))))
+    zipped = F.arrays_zip(F.col(spans).alias("s"), F.col(m).alias("m"), F.col(n).alias("n"))
+    overlapped = lambda z, k: (z["m"][f"s{k}"] > z["s"]["start"]) | (z["n"][f"s{k}"] < z["s"]["end"])
+    return df.withColumn(out, F.transform(F.filter(zipped, lambda z: ~hits(z["s"], lambda k: overlapped(z, k))), lambda z: z["s"])).drop(e, b, m, n)
 
 
 def _matches(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
@@ -174,10 +198,6 @@ def with_base(df: DataFrame, text_col: str) -> DataFrame:
     return df
 
 
-def _overlaps(spans: Column, s: Column) -> Column:
-    return F.exists(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-
-
 def with_candidates(df: DataFrame) -> DataFrame:
     """Adds _cand: candidates of all generators with binned features and weak label."""
     digit = F.col("_text").rlike("[0-9]")
@@ -267,11 +287,25 @@ def _found(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text
     trees, limits = model
     added = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     if trees is not None and min(limits) < float("inf"):
-        chosen = F.filter("_cand", lambda c: ~_overlaps(F.col("_all_base"), c) & (_margin(trees, c) >= _limit(limits, c)))
-        out = out.withColumn("_chosen", chosen)
-        first = F.filter("_chosen", lambda c: ~F.exists(F.col("_chosen"), lambda o: (o["gen"] < c["gen"]) & (o["start"] < c["end"]) & (c["start"] < o["end"])))
+        place = "struct<start:bigint,end:bigint,gen:int>"
+        chosen = F.filter("_cand", lambda c: _margin(trees, c) >= _limit(limits, c))
+        picked = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["gen"].alias("gen")).cast(place))
+        base = F.transform("_all_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("gen")).cast(place))
+        out = out.withColumn("_line", F.array_sort(F.concat(base, picked)))
+        # clear of the base, then of those of an earlier generator that are
+        out = _swept(out, "_line", [lambda s: s["gen"] < 0], lambda s, overlapped: (s["gen"] < 0) | overlapped(0), "_clear")
+        earlier = [lambda s, k=k: s["gen"] <= k for k in range(len(GENERATORS) - 1)]
+
+        def beaten(s: Column, overlapped) -> Column:
+            test = F.lit(False)
+            for k in range(len(earlier)):
+                test = F.when(s["gen"] == k + 1, overlapped(k)).otherwise(test)
+            return test
+
+        out = _swept(out, "_clear", earlier, beaten, "_first")
         names = F.array(*map(F.lit, GENERATORS))
-        added = F.transform(first, lambda c: F.struct(F.get(names, c["gen"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+        ordered = F.array_sort(F.transform("_first", lambda c: F.struct(c["gen"].alias("gen"), c["start"].alias("start"), c["end"].alias("end"))))
+        added = F.transform(ordered, lambda c: F.struct(F.get(names, c["gen"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return out.withColumns({"_base": F.concat(*map(_named, BASE)), "_added": added})
 
 
@@ -310,17 +344,24 @@ def redact(df: DataFrame, model: tuple[boosting.Trees | None, list[float]], text
     """
     text = F.col("_own")
     spans = F.array_sort(F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        parts = F.when(fresh, F.concat(acc["parts"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    whole = F.aggregate(F.col("_spans"), start, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.size("_spans") > 0, whole).otherwise(text)
-    out = _found(df, model, text_col).withColumn("_spans", spans).withColumn("_clean", clean)
+    out = _found(df, model, text_col).withColumn("_spans", spans)
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"_chunks": F.when(F.size("_spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(none), "_ends": F.transform("_spans", lambda s: s["end"])})
+    out = out.withColumn("_till", _before(F.col("_ends"), lambda a, b: F.greatest(a, b), F.lit(0).cast("long")))
+    chunks = F.col("_chunks")
+
+    def cut(start: Column, end: Column) -> Column:
+        """Of the text, by its chunks, so that no cut counts from the text's beginning."""
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        one = F.substring(F.get(chunks, first), (start % CHUNK + 1).cast("int"), (end - start).cast("int"))
+        more = F.concat(F.substring(F.get(chunks, first), (start % CHUNK + 1).cast("int"), F.lit(CHUNK)), F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), F.coalesce(F.substring(F.get(chunks, last), F.lit(1), (end % CHUNK).cast("int")), F.lit("")))
+        return F.when(start >= end, "").when(first == last, one).otherwise(more)
+
+    # a span that begins before an earlier one ends is part of it
+    fresh = F.filter(F.arrays_zip(F.col("_spans").alias("s"), F.col("_till").alias("till")), lambda z: z["s"]["start"] >= z["till"])
+    parts = F.transform(fresh, lambda z: F.concat(cut(z["till"], z["s"]["start"]), F.lit("<"), F.upper(z["s"]["kind"]), F.lit(">")))
+    whole = F.concat(F.array_join(parts, ""), cut(F.array_max("_ends"), F.length(text).cast("long")))
+    out = out.withColumn("_clean", F.when(F.size("_spans") > 0, whole).otherwise(text))
     new = {text_col: F.col("_clean")} | ({length_col: F.length("_clean").cast(df.schema[length_col].dataType)} if length_col in df.columns else {})
     return out.select(*(new.get(c, F.col(f"_k{i}")).alias(c) for i, c in enumerate(df.columns)))
 
