@@ -1,12 +1,14 @@
 """Operators on small tables with the hard cases, against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from oracle import compare
@@ -218,11 +220,60 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train(table, labels.limit(0)) == {"constant": 0.0}
 
 
+def size_class(n):
+    return int(4 * math.log2(n)) if n else 0
+
+
+def plain_bands(texts):
+    """Length class -> band, from the texts that teach: the quantiles' values are those at ranks ceil(q n), one at the least."""
+    by = {}
+    for t in texts:
+        raw = t.encode()
+        by.setdefault(size_class(len(raw)), []).append(len(raw) / len(zstandard.ZstdCompressor(level=3).compress(raw)))
+    out = {}
+    for k, own in by.items():
+        own.sort()
+        n, (low, high) = len(own), next((lo, hi) for most, lo, hi in quality.BANDS if 2 ** (k / 4) < most)
+        a, b = (own[max(1, math.ceil(q * n)) - 1] for q in (0.002, 0.998))
+        out[k] = (max(low, a * (0.97 - 0.5 / n)), min(high, b * (1.03 + 0.5 / n)))
+    return out
+
+
+def plain_verdict(text, failed, bands):
+    raw = text.encode()
+    if not raw:
+        return False, 0.0
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+    low, high = next((lo, hi) for most, lo, hi in quality.BANDS if len(raw) < most)
+    own = bands.get(size_class(len(raw)), (low, high))
+    chunks = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
+    if len(chunks) > 1 and len(chunks[-1]) < 2048:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
+    bad = sum(len(c) for c in chunks if not 1.7 <= ratio(c) <= 6.0) if len(raw) > 4096 else 0
+    return not failed and max(low, own[0]) <= ratio(raw) <= min(high, own[1]) and bad <= 0.25 * len(raw), round(ratio(raw), 9)
+
+
+def test_quality_bands_do_not_jump(spark):
+    """One labelled text more moves a band by little, at every number of texts."""
+    rows = [(k, " ".join(f"word{(k * 7 + j * j) % 997}" for j in range(70)), 1) for k in range(60)]
+    last = None
+    for n in (1, 2, 20, 49, 50, 51, 60):
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string, quality int")
+        (band,) = set(quality.fit(df, df).values())
+        fixed = quality.fixed_band(len(rows[0][1]))
+        assert fixed[0] <= band[0] <= band[1] <= fixed[1]
+        if last:
+            assert all(abs(a - b) < (0.01 if n - last[0] == 1 and n > 40 else 1.5) for a, b in zip(band, last[1]))
+        last = (n, band)
+
+
 def test_quality_against_plain_counts(spark, docs, empty):
     """The whole query's base columns on sf0.001 by brute force, learned bands, and hard rows."""
     got = {r.doc_id: r for r in registry.QUERIES["op5_quality"](spark, SF).collect()}
     table = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert len(got) == len(table)
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1 and zlib.crc32(str(r.doc_id).encode()) % 5}
+    bands = plain_bands([r.text for r in table if r.doc_id in good and r.text is not None and not got[r.doc_id].base_failed])
     for r in table:
         t, g = r.text or "", got[r.doc_id]
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -234,8 +285,8 @@ def test_quality_against_plain_counts(spark, docs, empty):
             seen.add(line)
         failed = len(words) < 20 or 100 * len(inside) > 30 * len(words)
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == (len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(inside), failed)
-        assert not (failed and g.kept)
-    assert quality.judge(empty).count() == 0 and quality.fit(docs, empty.select("doc_id", F.lit(1).alias("quality"))) == {}
+        assert (g.kept, round(g.ratio, 9)) == plain_verdict(t, failed, bands), r.doc_id
+    assert bands and quality.judge(empty).count() == 0 and quality.fit(docs, empty.select("doc_id", F.lit(1).alias("quality"))) == {}
 
 
 def test_learned_bands_on_held_out_labels(spark):
