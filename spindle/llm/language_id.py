@@ -10,7 +10,6 @@ probabilities), smoothed.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,13 +17,14 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: Characters of the words that are scored at once, and after how many the forward sums are scaled.
 AT_ONCE, SCALED = 1 << 17, 8
 #: A character that no piece covers.
