@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.jobs import analytics, sweep
-from spindle.operators import matrix, schedule, spmv, validate
+from spindle.operators import matrix, schedule, spmv, tiles, validate
 from spindle.sources import mtx, mtx_format, results, scratch
 
 WORKERS, CHUNK = 8, 100
@@ -98,6 +98,16 @@ def spmv_merge(spark, d):
     return spmv.multiply_merge(a_matrix(spark, d), vector(spark, d), domain(spark, d), WORKERS)
 
 
+@query(f"WITH {Y}, z AS (SELECT j, sum(v * y) AS x FROM coo JOIN y USING (i) GROUP BY 1) SELECT o_orderkey AS i, coalesce(sum(v * x), 0.0) AS y FROM orders LEFT JOIN coo ON o_orderkey = i LEFT JOIN z USING (j) GROUP BY 1")
+def spmv_chained(spark, d):
+    """A (A' (A x)): A and its transpose are laid out once; no product moves them."""
+    coo = scratch.saved(a_matrix(spark, d))
+    a, at = tiles.build(coo), tiles.build(matrix.transposed(coo))
+    y = tiles.multiply(a, vector(spark, d), domain(spark, d))
+    z = tiles.multiply(at, y.select(F.col("i").alias("j"), F.col("y").alias("x")), table(spark, d, "part").select(F.col("p_partkey").alias("i")))
+    return tiles.multiply(a, z.select(F.col("i").alias("j"), F.col("y").alias("x")), domain(spark, d))
+
+
 @query("SELECT vec_id AS i, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: CAST(embedding[k] AS DOUBLE) * (((k - 1) * 7 + 3) % 10))), 6) AS y FROM embeddings")
 def spmv_dense(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("a"))
@@ -171,9 +181,9 @@ _part_query("part_task", lambda r: schedule.task("i"), "o_orderkey")
 
 @query(f"WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS lo, (r + {WORKERS - 1}) // {WORKERS} AS hi, r FROM (SELECT count(*) AS r FROM orders) UNION ALL SELECT chunk + 1, hi, hi + (r - hi + {WORKERS - 1}) // {WORKERS}, r FROM g WHERE hi < r) SELECT chunk, lo, hi, (SELECT count(*) FROM orders WHERE o_orderkey >= lo AND o_orderkey < hi) AS n_rows FROM g")
 def part_guided(spark, d):
-    bounds = schedule.guided(spark, n_rows(spark, d), WORKERS)  # workers * log(rows) boundaries
-    i = domain(spark, d)
-    return i.join(F.broadcast(bounds), (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")), "right").groupBy("chunk", "lo", "hi").agg(F.count("i").alias("n_rows"))
+    n = n_rows(spark, d)
+    counts = domain(spark, d).groupBy(schedule.guided_chunk("i", n, WORKERS).alias("chunk")).agg(F.count("*").alias("n_rows"))
+    return schedule.guided(spark, n, WORKERS).join(counts, "chunk", "left").select("chunk", "lo", "hi", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 @query(f"WITH {MERGE} SELECT part, row, nz FROM m")

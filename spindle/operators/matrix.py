@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.sources import scratch
+
 from .order import numbered
 
 #: Rows of one window of a scan, and columns of one array of a row: bounds what a task holds at once.
@@ -24,7 +26,7 @@ def distinct_nnz(coo: DataFrame) -> DataFrame:
     return coo.select("i", "j").distinct().agg(F.count("*").alias("nnz"))
 
 
-def _before(blocks: DataFrame, block: str, value: str, name: str) -> DataFrame:
+def before(blocks: DataFrame, block: str, value: str, name: str) -> DataFrame:
     """Exclusive prefix sums over one row for each block, themselves taken in blocks of blocks."""
     outer = F.expr(f"{block} div {ROW_BLOCK}")
     totals = blocks.groupBy(outer.alias("_outer")).agg(F.sum(value).alias("_t"))
@@ -42,7 +44,8 @@ def row_pointers(coo: DataFrame, rows: DataFrame) -> DataFrame:
     """
     counts = coo.groupBy("i").agg(F.count("*").alias("n"))
     dense = rows.select("i").join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"i div {ROW_BLOCK}").alias("_block"))
-    offsets = _before(dense.groupBy("_block").agg(F.sum("n").alias("_sum")), "_block", "_sum", "_offset")
+    dense = scratch.saved(dense)
+    offsets = before(dense.groupBy("_block").agg(F.sum("n").alias("_sum")), "_block", "_sum", "_offset")
     own = Window.partitionBy("_block").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = dense.join(offsets, "_block").withColumn("row_end", F.col("_offset") + F.sum("n").over(own))
     return ends.select("i", (F.col("row_end") - F.col("n")).alias("row_start"), "row_end")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spindle.sources import scratch
+
 from . import matrix
 from .order import numbered
 
@@ -31,14 +35,31 @@ def task(i: str) -> Column:
     return F.col(i)
 
 
-def guided(spark: SparkSession, n_rows: int, workers: int, least: int = 1) -> DataFrame:
-    """chunk, lo, hi: each takes ceil(remaining / workers), `least` at the least."""
+def guided_bounds(n_rows: int, workers: int, least: int = 1) -> list[tuple[int, int]]:
+    """lo, hi of each chunk: each takes ceil(remaining / workers), `least` at the least; about workers * log(n_rows / workers) of them."""
     out, lo = [], 0
     while lo < n_rows:
         hi = min(n_rows, lo + max(least, -(-(n_rows - lo) // workers)))
-        out.append((len(out), lo, hi))
+        out.append((lo, hi))
         lo = hi
-    return spark.createDataFrame(out, "chunk long, lo long, hi long")
+    return out
+
+
+def guided(spark: SparkSession, n_rows: int, workers: int, least: int = 1) -> DataFrame:
+    """chunk, lo, hi of the guided schedule."""
+    return spark.createDataFrame([(k, *b) for k, b in enumerate(guided_bounds(n_rows, workers, least))], "chunk long, lo long, hi long")
+
+
+def guided_chunk(i: str, n_rows: int, workers: int, least: int = 1) -> Column:
+    """The chunk of row i, by binary search in the sorted bounds."""
+    lows = [lo for lo, _ in guided_bounds(n_rows, workers, least)] or [0]
+    bounds, row = F.lit(lows), F.col(i)
+    low = F.lit(0)
+    step = 1 << (len(lows).bit_length() - 1)
+    steps = [step >> k for k in range(step.bit_length())]
+    # the greatest place whose bound is not above i, a bit at a time
+    go = lambda at, s: F.when(F.coalesce(F.get(bounds, at + s) <= row, F.lit(False)), at + s).otherwise(at)
+    return F.aggregate(F.lit(steps).cast("array<int>"), low, go).cast("long")
 
 
 def merge_items(n_rows: int, nnz: int, workers: int) -> int:
@@ -63,17 +84,39 @@ def merge_path(coo: DataFrame, rows: DataFrame, workers: int) -> DataFrame:
 def merge_coordinates(coo: DataFrame, rows: DataFrame, workers: int) -> DataFrame:
     """part, row, nz where each share starts, and where the last one ends.
 
-    Row-end i stands at row_end + i; the rows of a diagonal are the row-ends
-    before it, counted by share and added up over the shares.
+    The end of row i stands at e = row_end + i; the rows of diagonal d are those
+    with e < d. An index of two levels, over blocks of ROW_BLOCK rows and over as
+    many of these, is searched for each diagonal; rows are counted only in the
+    blocks that are found, at most one for each diagonal.
     """
-    counted_domain(rows)
-    ends = matrix.row_pointers(coo, rows).select((F.col("row_end") + F.col("i")).alias("e"))
-    total = ends.agg(F.count("*").alias("r"), (F.coalesce(F.max("e"), F.lit(-1)) + 1).alias("t"))
-    items = total.select("r", "t", F.greatest(F.lit(1), F.expr(f"(t + {workers - 1}) div {workers}")).alias("items"))
-    counts = ends.crossJoin(F.broadcast(items)).groupBy(F.expr("e div items").alias("part")).agg(F.count("*").alias("n"))
-    grid = rows.sparkSession.range(workers + 1).select(F.col("id").alias("part")).crossJoin(F.broadcast(items)).join(counts, "part", "left")
-    row = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return grid.withColumn("row", row).select("part", "row", (F.least(F.col("part") * F.col("items"), F.col("t")) - F.col("row")).alias("nz"))
+    spark, size = rows.sparkSession, matrix.ROW_BLOCK
+    n = counted_domain(rows)
+    counts = coo.groupBy(F.expr(f"i div {size}").alias("block")).agg(F.count("*").alias("n"))
+    known = spark.range(-(-n // size)).select(F.col("id").alias("block")).join(counts, "block", "left").select("block", F.coalesce("n", F.lit(0)).alias("n"))
+    known = scratch.saved(known)
+    last = F.least((F.col("block") + 1) * size, F.lit(n)) - 1
+    index = scratch.saved(known.join(matrix.before(known, "block", "n", "before"), "block").select("block", F.expr(f"block div {size}").alias("outer"), "before", (F.col("before") + F.col("n") + last).alias("e")))
+    scratch.dropped(known)
+    top = sorted(map(tuple, index.groupBy("outer").agg(F.max("e")).collect()))  # a row for each 16 M rows of the matrix
+    total = top[-1][1] + 1 if top else 0
+    items = max(1, -(-total // workers))
+    ends = [e for _, e in top]
+    grid = [(p, min(p * items, total)) for p in range(workers + 1)]
+    inside = [(p, d, top[bisect.bisect_left(ends, d)][0]) for p, d in grid if d < total]
+    beyond = spark.createDataFrame([(p, n, d - n) for p, d in grid if d >= total], "part long, row long, nz long")
+    if not inside:
+        return beyond
+    asked = spark.createDataFrame(inside, "part long, d long, outer long")
+    found = index.join(F.broadcast(asked), "outer").where("e >= d").groupBy("part", "d").agg(F.min(F.struct("block", "before")).alias("b")).select("part", "d", "b.*")
+    found = scratch.saved(found)
+    wanted = F.broadcast(found.select("block").distinct())  # workers + 1 rows at most
+    here = lambda df: df.withColumn("block", F.expr(f"i div {size}")).join(wanted, "block", "left_semi")
+    own = here(rows.select("i")).join(here(coo.select("i")).groupBy("i").agg(F.count("*").alias("n")), "i", "left")
+    order = Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = own.select("block", "i", (F.sum(F.coalesce("n", F.lit(0))).over(order) + F.col("i")).alias("own"))
+    passed = found.join(upto, "block").groupBy("part", "d", "block").agg(F.count_if(F.col("before") + F.col("own") < F.col("d")).alias("k"))
+    row = F.col("block") * size + F.col("k")
+    return passed.select("part", row.alias("row"), (F.col("d") - row).alias("nz")).unionByName(beyond)
 
 
 def balance(coo: DataFrame, rows: DataFrame, workers: int, n_rows: int) -> DataFrame:
