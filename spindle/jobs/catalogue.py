@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.jobs import analytics, sweep
-from spindle.operators import matrix, schedule, spmv, tiles, validate
+from spindle.operators import exact, matrix, schedule, spmv, tiles, validate
 from spindle.sources import mtx, mtx_format, results, scratch
+from spindle.streaming import deltas
 
 WORKERS, CHUNK = 8, 100
 #: Components of a row of embeddings.
@@ -80,7 +81,8 @@ g AS (SELECT CAST(part AS BIGINT) AS part, (SELECT count(*) FROM e WHERE e.e < p
 
 @query(SPMV)
 def spmv_csr(spark, d):
-    return spmv.multiply(a_matrix(spark, d), vector(spark, d), domain(spark, d))
+    """All rows of the domain; equal coordinates need not be added up first, as a product is linear."""
+    return spmv.multiply(entries(spark, d), vector(spark, d), domain(spark, d))
 
 
 @query(SPMV)
@@ -108,6 +110,32 @@ def spmv_chained(spark, d):
     return tiles.multiply(a, z.select(F.col("i").alias("j"), F.col("y").alias("x")), domain(spark, d))
 
 
+# the exact sum as a whole number of 2^-114, and its nearest double: 53 bits, ties to even
+_EXACT = """WITH s AS (SELECT l_orderkey AS i, sum(CAST(l_discount * 576460752303423488.0::DOUBLE AS HUGEINT) * CAST(((p_partkey * 7 + 3) % 10) / 7.0::DOUBLE * 36028797018963968.0::DOUBLE AS HUGEINT)) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+k AS (SELECT i, s, CAST(len(list_filter(range(0, 74), lambda b: (s // CAST(pow(2, 53) AS HUGEINT)) >= CAST(pow(2, b) AS HUGEINT))) AS INTEGER) AS k FROM s),
+q AS (SELECT i, k, s // CAST(pow(2, k) AS HUGEINT) AS q, 2 * (s % CAST(pow(2, k) AS HUGEINT)) AS r, CAST(pow(2, k) AS HUGEINT) AS unit FROM k)
+SELECT o_orderkey AS i, coalesce(CAST(CAST(q + CASE WHEN r > unit OR (r = unit AND q % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) AS DOUBLE) * pow(2.0, k - 114), 0.0) AS y FROM orders LEFT JOIN q ON o_orderkey = q.i"""
+
+
+@query(_EXACT)
+def spmv_exact(spark, d):
+    """Fractions as they are: discounts times sevenths, added up without error and rounded once."""
+    coo = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_discount").alias("v"))
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("j"), (((F.col("p_partkey") * 7 + 3) % 10) / F.lit(7.0)).alias("x"))
+    return exact.multiply(coo, x, domain(spark, d))
+
+
+@query(f"WITH {COO} SELECT i, j, v FROM coo")
+def coo_stream(spark, d):
+    """Entries arrive as files, in two halves; the stream stops between and goes on from its checkpoint."""
+    source, out, checkpoint = (scratch.folder(spark) for _ in range(3))
+    own = entries(spark, d).withColumn("half", F.col("i") % 2)
+    for half in (0, 1):
+        own.where(f"half = {half}").drop("half").write.mode("append").parquet(source)
+        deltas.follow(spark, source, out, checkpoint).awaitTermination()
+    return deltas.state(spark, out)
+
+
 @query("SELECT vec_id AS i, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: CAST(embedding[k] AS DOUBLE) * (((k - 1) * 7 + 3) % 10))), 6) AS y FROM embeddings")
 def spmv_dense(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("a"))
@@ -379,11 +407,9 @@ def results_scan(spark, d):
         "event_id", "user_id", F.concat(F.lit("spmv_"), F.lower("event_type")).alias("Executable"), (F.col("user_id") % 8 + 1).cast("int").alias("Threads"), (F.col("event_id") % 10 + 1).cast("int").alias("Run"),
         F.when(F.col("event_id") % 4 >= 2, (10 * (F.col("event_id") % 3 + 1)).cast("int")).alias("ChunkSize"), F.col("value").alias("Time"),
     )
-    for bench in (0, 1):
-        for odd, name in enumerate(("even", "odd_one")):
-            for chunked in (False, True):
-                own = rows.where((F.col("event_id") % 4 == bench + 2 * chunked) & (F.col("user_id") % 2 == odd)).drop("event_id", "user_id")
-                results.append(own, f"{path}/TESTBENCH{bench + 2}_RES/{name}{'_chunked' * chunked}.csv")
+    name = F.concat(F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd_one"), F.when(F.col("event_id") % 4 >= 2, "_chunked.csv").otherwise(".csv"))
+    placed = rows.select("*", F.concat(F.lit("TESTBENCH"), (F.col("event_id") % 2 + 2).cast("string"), F.lit("_RES")).alias("testbench"), name.alias("file"))
+    results.append_all(placed.drop("event_id", "user_id"), path)
     return results.scan(spark, path)
 
 
@@ -428,7 +454,7 @@ def bench_baseline(spark, d):
 @query(f"""WITH {P90}, b AS (SELECT avg(p90) AS b FROM p WHERE executable = (SELECT min(executable) FROM p WHERE lower(executable) LIKE '%click%'))
 SELECT executable, threads, round(b / (p90 * threads) * 100, 6) AS efficiency FROM p, b WHERE lower(executable) NOT LIKE '%click%' UNION ALL SELECT DISTINCT 'ideal', threads, 100.0 FROM p""")
 def bench_efficiency(spark, d):
-    return analytics.efficiency(analytics.p90(timings(spark, d)), BASE).withColumn("efficiency", F.round("efficiency", 6))
+    return analytics.efficiency(scratch.saved(analytics.p90(timings(spark, d))), BASE).withColumn("efficiency", F.round("efficiency", 6))
 
 
 @query(f"""WITH {P90}, x AS (SELECT *, dense_rank() OVER (ORDER BY threads) AS x FROM p), r AS (SELECT *, rank() OVER (PARTITION BY x ORDER BY p90) AS rank FROM x)
@@ -441,7 +467,7 @@ def bench_labels(spark, d):
 e AS (SELECT executable, threads, b / (p90 * threads) * 100 AS y FROM p, b WHERE lower(executable) NOT LIKE '%click%'), x AS (SELECT *, dense_rank() OVER (ORDER BY threads) AS x FROM e), r AS (SELECT *, rank() OVER (PARTITION BY x ORDER BY y) AS rank FROM x)
 SELECT executable, x, round(y, 6) AS y, rank, CASE WHEN rank % 2 = 0 THEN 'left' ELSE 'top' END AS side, printf('%.1f', y) || '%' AS label FROM r""")
 def bench_efficiency_labels(spark, d):
-    return analytics.efficiency_labels(analytics.p90(timings(spark, d)), BASE).withColumn("y", F.round("y", 6))
+    return analytics.efficiency_labels(scratch.saved(analytics.p90(timings(spark, d))), BASE).withColumn("y", F.round("y", 6))
 
 
 @query(f"WITH {P90}, {p90_sql('executable, threads, chunk', 'c')} SELECT 'default' AS bench, executable, threads, CAST(NULL AS BIGINT) AS chunk, round(p90, 6) AS p90 FROM p UNION ALL SELECT 'chunked', executable, threads, chunk, round(p90, 6) FROM c")
@@ -476,6 +502,28 @@ def sweep_plan(spark, d):
     return sweep.plan(matrices, executables, numbers("threads", (1, 2, 4, 8)), numbers("run", (1, 2, 3)), numbers("chunk", (10, 100, 1000, 10000)))
 
 
+@query("""SELECT s_nationkey AS matrix, executable, CAST(t AS BIGINT) AS threads, CAST(1 AS BIGINT) AS run, CAST(CASE WHEN executable = 'merge' THEN NULL ELSE 100 END AS BIGINT) AS chunk, true AS measured
+FROM (SELECT DISTINCT CAST(s_nationkey % 2 AS VARCHAR) AS s_nationkey FROM supplier), unnest(['merge', 'runtime_static']) e(executable), unnest([1, 2]) a(t)""")
+def sweep_cells(spark, d):
+    """A plan over two halves of the matrix, run, broken off after three cells, and resumed; what the result files then hold."""
+    own, path = scratch.saved(entries(spark, d)), scratch.folder(spark)
+    rows = domain(spark, d)
+    numbers = lambda name, *values: spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("long") for v in values))).alias(name))
+    matrices = table(spark, d, "supplier").select((F.col("s_nationkey") % 2).cast("string").alias("matrix")).distinct()
+    kinds = spark.range(1).select(F.explode(F.array(F.lit("merge"), F.lit("runtime_static"))).alias("executable"))
+    cells = sweep.plan(matrices, kinds, numbers("threads", 1, 2), numbers("run", 1), numbers("chunk", 100))
+
+    def product(cell: dict) -> DataFrame:
+        coo = own.where(F.expr("i % 2").cast("string") == cell["matrix"])
+        return spmv.multiply(coo.repartition(cell["threads"], "i"), vector(spark, d), rows)
+
+    results.reset(spark, path)
+    for most in (3, None):
+        sweep.run(spark, cells, {"merge": product, "runtime_static": product}, path, "TESTBENCH3_RES", most=most)
+    found = results.scan(spark, path)
+    return found.select("matrix", F.col("Executable").alias("executable"), F.col("Threads").cast("long").alias("threads"), F.col("Run").cast("long").alias("run"), F.col("ChunkSize").cast("long").alias("chunk"), (F.col("Time") > 0).alias("measured"))
+
+
 # the notations in which programs print seconds, and lines that are no timing
 _LINE = "CASE event_id % 4 WHEN 0 THEN 'Elapsed time: ' || {six} || ' seconds' WHEN 1 THEN 'Elapsed time: ' || {e} || ' seconds' WHEN 2 THEN '  Elapsed time: ' || {whole} ELSE 'run ' || {whole} || ' 3 done' END"
 

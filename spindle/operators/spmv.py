@@ -82,11 +82,18 @@ def multiply_merge(coo: DataFrame, x: DataFrame, rows: DataFrame, workers: int)
     return sums.where("NOT carry").join(F.broadcast(carried), "i", "left").select("i", (F.col("y") + F.coalesce("c", F.lit(0.0))).alias("y"))
 
 
+#: Numbers of a vector (8 MB) that are sent to every task at most.
+SENT = 1 << 20
+
+
 def multiply_dense(rows: DataFrame, x: DataFrame, width: int) -> DataFrame:
-    """y of rows (i, a), a an array of `width` numbers: no shuffle of the matrix; the vector (j, x) is one array, missing j are 0.
+    """y of rows (i, a), a an array of `width` numbers; missing j of the vector (j, x) are 0.
 
-    The vector must fit into memory beside the rows, each of which is as long.
+    A vector of up to SENT numbers goes to all tasks as one array, and the matrix
+    is not shuffled; for a longer one the rows are taken apart into entries.
     """
+    if width > SENT:
+        return multiply(rows.select("i", F.posexplode("a").alias("j", "v")), x, rows)
     own = F.array_sort(F.collect_list(F.struct("j", "x")))
     places = x.sparkSession.range(width).select(F.col("id").alias("j")).join(x, "j", "left").select("j", F.coalesce("x", F.lit(0.0)).alias("x"))
     whole = places.agg(own.alias("_e")).select(F.col("_e.x").alias("_x"))

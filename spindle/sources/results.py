@@ -18,10 +18,40 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     if not rows.inputFiles():
         raise FileNotFoundError(f"no CSV file under {path}")
     file = F.col("_metadata.file_path")
-    parts = r"([^/]+)/([^/]+?)(_chunked)?\.csv(?:/part-[^/]*)?$"
+    parts = r"(?:testbench=)?([^/]+)/(?:file=)?([^/]+?)(_chunked)?\.csv(?:/part-[^/]*)?$"
     return rows.select("*", F.regexp_extract(file, parts, 2).alias("matrix"), F.regexp_extract(file, parts, 1).alias("testbench"), (F.regexp_extract(file, parts, 3) != "").alias("chunked"))
 
 
+def _place(spark: SparkSession, path: str):
+    """The path and its file system, as Spark opens them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def any_file(spark: SparkSession, path: str) -> bool:
+    """Whether there is a result file under path."""
+    place, store = _place(spark, path)
+    if not store.exists(place):
+        return False
+    files = store.listFiles(place, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".csv"):
+            return True
+    return False
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """An empty folder for results, whatever was there."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+    store.mkdirs(place)
+
+
+def append_all(rows: DataFrame, path: str) -> None:
+    """Rows of many files at once: testbench and file (as x.csv or x_chunked.csv) say where each belongs."""
+    rows.write.mode("append").partitionBy("testbench", "file").option("header", True).option("nullValue", "NA").csv(path)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).option("nullValue", "NA").csv(path)
 

@@ -140,6 +140,14 @@ def test_products_do_not_depend_on_the_schedule(spark):
         schedule.merge_path(distinct, rows.where("i != 4"), 3)
 
 
+def test_dense_rows_with_a_short_and_a_long_vector(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [0.0, 0.0, 0.0]), (2, [4.0, 0.0, -1.0])], "i long, a array<double>")
+    x = spark.createDataFrame([(0, 2.0), (2, 5.0)], "j long, x double")
+    for sent in (spmv.SENT, 2):
+        monkeypatch.setattr(spmv, "SENT", sent)
+        assert sorted(map(tuple, spmv.multiply_dense(rows, x, 3).collect())) == [(0, 17.0), (1, 0.0), (2, 3.0)]
+
+
 def test_numbers_and_neighbours_of_repeated_entries(spark):
     cells = [(0, 5)] * 30 + [(0, 6), (2, 1), (2, 1), (4, 0)]
     coo = spark.createDataFrame(cells, "i long, j long").repartition(4)
