@@ -34,12 +34,11 @@ def source_rates(df: DataFrame, source_col: str, weights: dict[str, float] | Non
     source = common.quoted(source_col)
     counts = df.groupBy(F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_null")).agg(F.count("*").alias("_n"))
     if weights is None:
-        weight = F.pow(F.col("_n").cast("double"), F.lit(float(alpha)))
+        counts = counts.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(float(alpha))))
     else:
-        weight = F.lit(0.0)
-        for name, w in sorted(weights.items()):
-            weight = F.when(~F.col("_null") & (F.col("_source") == name), float(w)).otherwise(weight)
-    counts = common.saved(counts.withColumn("_w", weight))
+        given = df.sparkSession.createDataFrame([(name, float(w)) for name, w in sorted(weights.items())], "_source string, _given double").withColumn("_null", F.lit(False))
+        counts = counts.join(given, ["_source", "_null"], "left").select("_source", "_null", "_n", F.coalesce("_given", F.lit(0.0)).alias("_w"))
+    counts = common.saved(counts)
     total = counts.agg(F.sum("_w").alias("_all_w"), F.sum("_n").alias("_all_n")).first()
     if not total["_all_w"]:
         return counts.select("_source", "_null", F.lit(0.0).alias("_rate"))

@@ -361,6 +361,12 @@ def test_mixing(spark, docs, empty):
     out = mixing.mix(docs, weights={"s0": 1.0}, size=40.0)
     assert {r.source for r in out.select("source").distinct().collect()} == {"s0"} and 200 < out.count() < 450
     assert mixing.mix(docs, size=20.0).where("source IS NULL").count() > 0
+    # a null source has no weight, one that is given in vain changes nothing, none at all gives no rows
+    named = mixing.mix(docs, weights={"s0": 1.0, "s1": 3.0, "": 0.5, "none": 9.0}, size=30.0)
+    assert {r.source for r in named.select("source").distinct().collect()} == {"s0", "s1", ""}
+    assert mixing.mix(docs, weights={}, size=30.0).count() == 0
+    clash = docs.withColumns({"rate": F.lit("r"), "MIX_KEY": F.lit(1), "_source": F.lit(2)})
+    assert sorted(mixing.mix(clash, weights={"s0": 1.0}, size=40.0, keep=clash.columns, added=()).columns) == sorted(clash.columns)
     assert mixing.mix(empty).count() == 0
     mixing.BROADCAST_CELLS, old = 0, mixing.BROADCAST_CELLS
     try:

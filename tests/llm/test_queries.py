@@ -125,6 +125,26 @@ def test_op8(spark, table):
         assert math.isclose(got[i].score, score, abs_tol=1e-9) and got[i].predicted == (got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_op9(spark):
+    """The whole query on sf0.1 against all distances: recall, exact scores, order and ties."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = {}
+    for r in registry.QUERIES["op9_neighbours"](spark, d).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got) == [i for i in sorted(ids.tolist()) if i % 100 == 0]
+    place, right = {int(i): k for k, i in enumerate(ids)}, 0
+    for q, found in got.items():
+        found.sort()
+        dist = np.sqrt(((x - x[place[q]]) ** 2).sum(1))
+        dist[place[q]] = np.inf
+        assert [f[0] for f in found] == list(range(1, 11)) and [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
+        assert all(math.isclose(s, dist[place[v]], rel_tol=1e-12) for _, v, s in found)
+        right += len({f[1] for f in found} & set(ids[np.lexsort((ids, dist))[:10]].tolist()))
+    assert right / (10 * len(got)) >= 0.9
+
+
 def test_toxicity_on_odd_tables(spark):
     """Nulls, very long and empty texts, repeated ids and rows, clashing names, too few labels."""
     rows = [(1, "you idiot scum " * 20000, 1, "x"), (1, "you idiot scum", 1, "x"), (2, "", 0, "y"), (3, None, 1, "z"), (None, "fine words", 0, None), (4, "fine words", None, "k")]
