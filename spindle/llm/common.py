@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,36 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spindle.sources.scratch import dropped, saved  # noqa: F401
+from spindle.sources.shipping import shipped as ready
 
 #: Rows and bytes of the slices in which tasks take an Arrow batch. Spark bounds the
 #: batch itself (64 MB unless set otherwise); a session's own settings are left alone.
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
-_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready(spark: SparkSession) -> None:
-    """Ship this package to the executors once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(folder, "spindle_llm.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(os.path.join(root, "spindle")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(d, name)
-                    z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(path)
-
-
 def private(df: DataFrame, *names: str) -> list[str]:
     """These names, each with underscores put before it until no column of df has it in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -292,8 +292,8 @@ def ranked_differences(held: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def meetings(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of components, and of their nodes, that meet at an element of a leader, before any condition.
+def meetings(ranked: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """Pairs of components, and of their nodes, that meet at an element of a leader, before any condition; and the saved tables that both read.
 
     Nodes of another component than the leader's probe, all others answer. Of a
     prober x and any y similar to it at least (9 |d(x)| + 9 |d(y)| - |x| - |y|) / 18
@@ -319,17 +319,17 @@ def meetings(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = lambda rows, root: rows.select(*place, root).distinct()
     across = groups(asking, "x_root").join(groups(answering, "y_root"), place)
     nodes = across.where("x_root != y_root").join(asking, [*place, "x_root"]).join(answering, [*place, "y_root"])
-    return across, nodes
+    return across, nodes, (asking, answering)
 
 
 def close_pairs(held: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Similar pairs (a, b) of different components among the nodes held against one leader, none left out."""
     ranked = ranked_differences(held, roots)
-    _, met = meetings(ranked)
+    _, met, read = meetings(ranked)
     possible = F.expr("5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n AND 9 * abs(x_d - y_d) <= x_n + y_n AND (NOT y_asks OR x_key < y_key)")
     pairs = common.saved(met.where(possible).select(F.least("x_key", "y_key").alias("key"), F.greatest("x_key", "y_key").alias("leader")).distinct())
     out = common.saved(_held(pairs, sets).where("near").select(F.col("key").alias("a"), F.col("leader").alias("b")))
-    common.dropped(ranked, pairs)
+    common.dropped(ranked, pairs, *read)
     return out
 
 

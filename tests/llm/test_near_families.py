@@ -31,9 +31,9 @@ def meetings(spark, rows):
     texts = df.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     held, roots, sets = near_dedup.led(texts)
     ranked = near_dedup.ranked_differences(held, roots)
-    across, nodes = near_dedup.meetings(ranked)
+    across, nodes, read = near_dedup.meetings(ranked)
     n = across.count(), nodes.count()
-    common.dropped(held, roots, sets, ranked)
+    common.dropped(held, roots, sets, ranked, *read)
     return n
 
 
