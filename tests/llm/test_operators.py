@@ -341,6 +341,31 @@ def test_neighbours_of_few_and_of_many_copies(spark):
     assert len(got) == 30
 
 
+@pytest.mark.parametrize("clusters", [40, 8])
+def test_neighbours_in_clusters_read_few_files(spark, clusters):
+    """Clustered vectors: under a third of the entries stand in files that are read, and nearly all true neighbours are found."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(clusters, 1, 16)) * 5 + rng.normal(size=(clusters, 4000 // clusters, 16)) / 4).reshape(-1, 16).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    rows = neighbours.usable(table, "vec_id", "embedding")
+    ids, sample = neighbours.sampled(rows)
+    p = neighbours.pivots(sample)
+    index, reach = neighbours.blocks(neighbours.posted(rows, p, 3, 48, "<f4"), len(p), neighbours.BLOCK, "v")
+    bound = (reach, lambda i, v: neighbours.within(i, v, ids, sample, 10))
+    read = {b: neighbours.posted(rows.where("id % 50 = 0"), p, 80, 80, "<f4", own).groupBy("pivot").count() for b, own in ((True, bound), (False, None))}
+    held = index.groupBy("pivot").agg(F.sum(F.octet_length("v_ids") / 8).alias("n"))
+    looked = {b: r.join(held, "pivot").agg(F.sum(F.col("count") * F.col("n"))).first()[0] / (80 * 4000 * 3) for b, r in read.items()}
+    assert looked[True] < 0.2 < 0.25 < looked[False], looked
+    right = 0
+    found = neighbours.search(table, table.where("vec_id % 50 = 0")).collect()
+    for q in range(0, 4000, 50):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        assert all(neighbours.within(np.array([q]), x[q : q + 1].astype(float), ids, sample, 10) >= np.sort(d)[9])
+        right += len(set(np.lexsort((np.arange(4000), d))[:10].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    assert right >= 0.97 * 800
+
+
 def test_neighbours_beside_a_dense_cluster(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2400, 24)).astype(np.float32)
