@@ -41,6 +41,8 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 #: Factor of the bands of differences: somewhat over the 1.25 that similar nodes can be apart by.
 BAND = 1.26
+#: Parts of a leader's nodes.
+SALTS = 16
 #: Words hashed by one prefix sum, and bytes beyond which a word is hashed by itself.
 WORDS_AT_ONCE, LONG_WORD = 65_536, 256
 #: Elements handled at once: their arrays stay in a core's cache.
@@ -282,8 +284,10 @@ def ranked_differences(held: DataFrame, roots: DataFrame) -> DataFrame:
     root = lambda key, name: roots.select(F.col("key").alias(key), F.col("root").alias(name))
     named = held.join(root("key", "root"), "key", "left").join(root("leader", "main"), "leader", "left")
     named = common.saved(named.select("leader", "key", "n", "n_leader", "apart", F.coalesce("root", "key").alias("root"), (F.coalesce("root", "key") != F.coalesce("main", "leader")).alias("asks")))
-    open_ = named.groupBy("leader").agg(F.max("asks").alias("asked"), F.count("*").alias("nodes")).where("asked AND nodes > 1").select("leader")
-    own = named.join(open_, "leader").withColumn("d", F.size("apart").cast("long"))
+    open_ = named.groupBy("leader").agg(F.max("asks").alias("asked"), F.count("*").alias("nodes")).where("asked AND nodes > 1")
+    # the nodes of a leader that many have are dealt over several tasks
+    salted = named.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    own = salted.join(open_.select("leader", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")), ["leader", "_salt"]).drop("_salt").withColumn("d", F.size("apart").cast("long"))
     spread = common.saved(own.select("leader", "key", "root", F.explode("apart").alias("element")))
     shared = spread.groupBy("leader", "element").agg(F.count("*").alias("often"), F.min("root").alias("one"), F.max("root").alias("other")).where("one != other")
     placed = spread.join(shared, ["leader", "element"]).groupBy("leader", "key").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("rare"))
