@@ -394,6 +394,34 @@ def mm_hermitian(spark, d):
     return mtx_format.load(spark, _triangle(spark, d, "complex hermitian", [F.col("v").cast("string"), (F.col("v") + 0.5).cast("string")]), expand_symmetry=True)[1]
 
 
+# a matrix for each 200 orders; of seven heads in a row four are broken, one has comments and blank lines, one a line that is too long
+_HEADS = _CASES.replace("o_orderkey", "m").replace("m AS k", "m AS k, n_rows, n_cols, nnz").replace("FROM orders", "FROM g")
+
+
+@query(f"""WITH g AS (SELECT o_orderkey // 200 AS m, max(o_orderkey) + 1 AS n_rows, max(l_partkey) + 1 AS n_cols, count(*) AS nnz FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+h AS (SELECT *, CASE k % 7 WHEN 1 THEN 12 WHEN 2 THEN 14 WHEN 3 THEN 15 WHEN 4 THEN 12 WHEN 5 THEN 16 ELSE 0 END AS code FROM ({_HEADS})), fine AS (SELECT * FROM h WHERE code = 0)
+SELECT h.k, CAST(h.code AS INTEGER) AS code, x.f AS format, x.d AS field, x.s AS symmetry, x.n_rows, x.n_cols, CASE x.f WHEN 'array' THEN x.n_rows * x.n_cols ELSE x.nnz END AS nnz,
+NOT ((x.f = 'array' AND x.d = 'pattern') OR (x.d = 'real' AND x.s = 'hermitian') OR (x.d = 'pattern' AND x.s IN ('hermitian', 'skew-symmetric'))) AS valid, x.f = 'coordinate' AND x.d <> 'complex' AS in_product
+FROM h LEFT JOIN fine x ON h.k = x.k""")
+def mm_inventory(spark, d):
+    """A collection of matrices is written, whole and broken ones; their heads are read, each up to its size line."""
+    path = scratch.folder(spark)
+    own = entries(spark, d).join(domain(spark, d), "i").withColumn("o_orderkey", F.expr("i div 200"))
+    words = {name: F.get(F.array(*map(F.lit, w)), F.expr(f"o_orderkey div {div} % {len(w)}")) for name, (w, div) in _WORDS.items()}
+    size = own.groupBy("o_orderkey").agg((F.max("i") + 1).alias("n_rows"), (F.max("j") + 1).alias("n_cols"), F.count("*").alias("nnz")).withColumns(words)
+    broken = F.expr("o_orderkey % 7")
+    kind = F.when(broken == 3, "quaternion").otherwise(F.col("d"))
+    banner = F.concat_ws(" ", F.when(broken == 2, "%MatrixMarket").otherwise(mtx.BANNER), F.lit("matrix"), "f", kind, F.when(broken != 1, F.col("s")))
+    text = lambda c: c.cast("string")
+    numbers = F.concat_ws(" ", text(F.col("n_rows")), F.when(broken == 4, "x"), F.when(broken == 5, F.repeat(F.lit(" "), F.lit(mtx.LONGEST_LINE))), text(F.col("n_cols")), F.when(F.col("f") == "coordinate", text(F.col("nnz"))))
+    head = size.select("o_orderkey", F.lit(-1).cast("long").alias("at"), F.concat(banner, F.lit("\n"), F.when(broken == 6, "% a comment\n\n  %\n").otherwise(""), numbers).alias("value"))
+    body = own.select("o_orderkey", F.col("i").alias("at"), F.concat_ws(" ", text(F.col("i") + 1), text(F.col("j") + 1), text(F.col("v"))).alias("value"))
+    lines = head.unionByName(body).repartition("o_orderkey").sortWithinPartitions("o_orderkey", "at")
+    lines.select("value", F.col("o_orderkey").alias("k")).write.partitionBy("k").text(path)
+    found = mtx_format.inventory(spark, path)
+    return found.select(F.regexp_extract("place", "k=(\\d+)$", 1).cast("long").alias("k"), "code", "format", "field", "symmetry", "n_rows", "n_cols", "nnz", "valid", "in_product")
+
+
 RESULTS = "SELECT event_id, user_id, ts, 'spmv_' || lower(event_type) AS \"Executable\", CAST(user_id % 8 + 1 AS INTEGER) AS \"Threads\", CAST(event_id % 10 + 1 AS INTEGER) AS \"Run\", CAST(10 * (event_id % 3 + 1) AS INTEGER) AS c, value AS \"Time\" FROM events"
 
 

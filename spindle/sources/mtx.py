@@ -78,6 +78,12 @@ def valid_meta(meta: Meta) -> bool:
     return not (dense_pattern or real_hermitian or (meta.field == "pattern" and meta.symmetry in ("hermitian", "skew-symmetric")))
 
 
+def gate(meta: Meta) -> None:
+    """Products take sparse files that are not complex."""
+    if meta.field == "complex" or meta.format != "coordinate":
+        raise UnsupportedType(f"{meta.format} {meta.field} in a product")
+
+
 def type_text(fmt: Column, field: Column, symmetry: Column) -> Column:
     return F.concat_ws(" ", F.lit("matrix"), fmt, field, symmetry)
 
@@ -164,8 +170,8 @@ def read(spark: SparkSession, path: str, zero_based: bool = True, expand_symmetr
     counts the entries of each block (128 MB of text, or so).
     """
     meta, head = header(spark, path)
-    if for_product and (meta.field == "complex" or meta.format != "coordinate"):
-        raise UnsupportedType(f"{meta.format} {meta.field} in a product")
+    if for_product:
+        gate(meta)
     rows = lines(spark, path)
     first = min(rows.inputFiles(), key=_name)
     t = F.split("text", r"\s+")

@@ -10,7 +10,9 @@ entries stand before a range must be known, as a file's entries end with the
 number that its size line states, and a dense array's places follow from it. A
 folder made by this writer holds an index of that, so that its body is read in
 one pass, and only ranges that can hold the rows asked for; the lines of any
-other file are counted first, by Spark in indexed(), else by the planner.
+other file are counted first, by Spark in indexed(), which load() asks, else by
+the planner, which is one process and refuses files of more than COUNTED bytes.
+inventory() reads the heads of all files of a collection, and no further.
 
 The writer's tasks write into a temporary folder; the commit makes the size line
 from what they report, moves their files and writes the header last. A failed
@@ -25,12 +27,14 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
@@ -40,6 +44,8 @@ from . import mtx, scratch, shipping
 
 #: Bytes of a range, and of what a task parses at once.
 RANGE, BLOCK = 32 << 20, 1 << 20
+#: Bytes of a file without an index whose lines the planner counts itself.
+COUNTED = 256 << 20
 INDEX, HEAD = "_index", "part-000000-head.mtx"
 PLAN_SCHEMA = "file string, start long, stop long, entries long"
 
@@ -212,6 +218,9 @@ class MtxReader(DataSourceReader):
             with held.open_input_stream(place) as f:
                 ranges = self._indexed(json.loads(f.read()))
         else:
+            n = sum(r.stop - r.start for r in ranges)
+            if n > COUNTED:
+                raise ValueError(f"{n} bytes without an index: use mtx_format.load(), or give the option index=mtx_format.indexed(spark, path)")
             n = 0
             for r in ranges:
                 r.first = n
@@ -465,9 +474,49 @@ def indexed(spark: SparkSession, path: str) -> str:
     return f"{place}/{INDEX}"
 
 
-def load(spark: SparkSession, path: str, zero_based: bool = True, expand_symmetry: bool = False) -> tuple[mtx.Meta, DataFrame]:
-    """Type and entries of a file through the data source; the stored triangle as it is, unless expand_symmetry."""
+HEADS = "place string, code int, format string, field string, symmetry string, n_rows long, n_cols long, nnz long"
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int32(), *[pa.string()] * 3, *[pa.int64()] * 3]
+    names = [c.split()[0] for c in HEADS.split(", ")]
+    for batch in batches:
+        rows = []
+        for place in batch.column(0).to_pylist():
+            try:
+                rows.append((place, 0, *astuple(header(place)[0])))
+            except (mtx.MtxError, OSError) as e:
+                rows.append((place, e.code if isinstance(e, mtx.MtxError) else mtx.CouldNotReadFile.code, *[None] * 6))
+        yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows, strict=True), strict=True)} if rows else {n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """place, code, format, field, symmetry, n_rows, n_cols, nnz, valid, in_product of every matrix under a folder.
+
+    A matrix is a file, or a folder of part files. code is 0 or the number of
+    the error that reading its head gives, with the rest null. valid: such a type
+    may be; in_product: it is sparse and not complex, as products need. Files are
+    listed by Spark, and tasks read each up to its size line only; no entry is looked at. Files of no bytes
+    are passed over, as Spark does.
+    """
+    shipping.shipped(spark)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    except AnalysisException as e:
+        raise mtx.CouldNotReadFile(path) from e
+    place = F.regexp_replace(F.regexp_replace("path", "/part-[^/]*$", ""), "^file:/+", "/").alias("place")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heads = files.select(place).repartition(tasks, "place").distinct().mapInArrow(_heads, HEADS)
+    known = F.col("code") == 0
+    fits = (F.col("format") == "coordinate") & (F.col("field") != "complex")
+    return heads.withColumns({"valid": F.when(known, mtx.valid(F.col("format"), F.col("field"), F.col("symmetry"))), "in_product": F.when(known, fits)})
+
+
+def load(spark: SparkSession, path: str, zero_based: bool = True, expand_symmetry: bool = False, for_product: bool = False) -> tuple[mtx.Meta, DataFrame]:
+    """Type and entries of a file through the data source; the stored triangle as it is, unless expand_symmetry. for_product: complex and array raise."""
     meta, _ = header(path)
+    if for_product:
+        mtx.gate(meta)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     out = spark.read.format("mtx").option("pushdown", pushdown).option("index", indexed(spark, path)).option("zeroBased", str(zero_based).lower()).load(path)
     if expand_symmetry:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import opened
+
 SCHEMA = "Executable string, Threads int, Run int, ChunkSize int, Time double"
 
 
@@ -22,15 +24,9 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.regexp_extract(file, parts, 2).alias("matrix"), F.regexp_extract(file, parts, 1).alias("testbench"), (F.regexp_extract(file, parts, 3) != "").alias("chunked"))
 
 
-def _place(spark: SparkSession, path: str):
-    """The path and its file system, as Spark opens them."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def any_file(spark: SparkSession, path: str) -> bool:
     """Whether there is a result file under path."""
-    place, store = _place(spark, path)
+    place, store = opened(spark, path)
     if not store.exists(place):
         return False
     files = store.listFiles(place, True)
@@ -42,7 +38,7 @@ def any_file(spark: SparkSession, path: str) -> bool:
 
 def reset(spark: SparkSession, path: str) -> None:
     """An empty folder for results, whatever was there."""
-    place, store = _place(spark, path)
+    place, store = opened(spark, path)
     store.delete(place, True)
     store.mkdirs(place)
 

@@ -38,13 +38,19 @@ def folder(spark: SparkSession) -> str:
     return f"{root(spark)}/{uuid.uuid4().hex}"
 
 
+def opened(spark: SparkSession, path: str):
+    """The path and its file system, as Spark opens them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, if the application still runs."""
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    place, store = opened(spark, path)
+    store.delete(place, True)
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -181,3 +181,61 @@ def test_no_executor_counts_twice(spark, tmp_path):
     assert rows(spark.read.format("mtx").load(path)) == rows(df)
     with open(f"{path}/{mtx_format.INDEX}") as f:
         assert not json.load(f)["sorted"]
+
+
+def test_heads_of_a_collection(spark, tmp_path):
+    """Files and written folders, nested; each broken head has its code; bodies are not looked at."""
+    root = tmp_path / "set"
+    (root / "deep er").mkdir(parents=True)
+    banner = "%%MatrixMarket matrix {}\n"
+    texts = {
+        "a.mtx": banner.format("coordinate real general") + "% c\n\n3 4 2\nno entry at all\n",
+        "deep er/b 1%.mtx": banner.format("ARRAY complex Hermitian") + "2 2\n",
+        "c.mtx": banner.format("array pattern general") + "2 5\n",
+        "blank.mtx": "\n",
+        "nobytes.mtx": "",
+        "short.mtx": banner.format("coordinate real"),
+        "nosize.mtx": banner.format("coordinate real general") + "% only\n",
+        "prefix.mtx": "%MatrixMarket matrix coordinate real general\n1 1 0\n",
+        "type.mtx": banner.format("coordinate octonion general") + "1 1 0\n",
+        "long.mtx": banner.format("coordinate real general") + "1" + " " * 1100 + "1 0\n",
+    }
+    for name, text in texts.items():
+        put(root, text, name)
+    mtx_format.save(spark.createDataFrame([(0, 0, 1.0), (4, 6, 2.0)], "i long, j long, v double").repartition(2), str(root / "folder"), field="integer")
+    found = {r["place"][len(str(root)) + 1 :]: tuple(r)[1:] for r in mtx_format.inventory(spark, str(root)).collect()}
+    none = (None,) * 8
+    assert found == {
+        "a.mtx": (0, "coordinate", "real", "general", 3, 4, 2, True, True),
+        "deep er/b 1%.mtx": (0, "array", "complex", "hermitian", 2, 2, 4, True, False),
+        "c.mtx": (0, "array", "pattern", "general", 2, 5, 10, False, False),
+        "folder": (0, "coordinate", "integer", "general", 5, 7, 2, True, True),
+        "blank.mtx": (12, *none), "short.mtx": (12, *none), "nosize.mtx": (12, *none), "prefix.mtx": (14, *none), "type.mtx": (15, *none), "long.mtx": (16, *none),
+    }
+    with pytest.raises(mtx.CouldNotReadFile):
+        mtx_format.inventory(spark, str(root / "missing"))
+    (tmp_path / "none").mkdir()
+    assert mtx_format.inventory(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_products_refuse_complex_and_dense_files(spark, tmp_path):
+    body = {"coordinate complex general": "1 1 1\n1 1 2 3\n", "array real general": "1 1\n5\n", "coordinate real general": "1 1 1\n1 1 4\n"}
+    for k, (kind, text) in enumerate(body.items()):
+        path = put(tmp_path, f"%%MatrixMarket matrix {kind}\n{text}", f"{k}.mtx")
+        if k < 2:
+            with pytest.raises(mtx.UnsupportedType):
+                mtx_format.load(spark, path, for_product=True)
+        else:
+            assert rows(mtx_format.load(spark, path, for_product=True)[1]) == [(0, 0, 4.0)]
+
+
+def test_the_planner_counts_no_long_file(spark, tmp_path, monkeypatch):
+    path = put(tmp_path, HEAD + "2 2 3\n1 1 1\n1 2 1\n2 2 1\n")
+    meta, body = mtx_format.header(path)
+    reader = lambda index=None: mtx_format.MtxReader(path, meta, body, True, index, False)
+    index = mtx_format.indexed(spark, path)
+    assert len(reader().partitions()) == 1
+    monkeypatch.setattr(mtx_format, "COUNTED", 10)
+    with pytest.raises(ValueError, match="without an index"):
+        reader().partitions()
+    assert len(reader(index).partitions()) == 1
