@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spindle.sources.scratch import opened
+
 SCHEMA = "i long, j long, v double"
 
 
@@ -26,7 +28,35 @@ def follow(spark: SparkSession, source: str, out: str, checkpoint: str, files: i
     return sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
 
-def state(spark: SparkSession, out: str) -> DataFrame:
-    """i, j, v as of the last batch that changed each coordinate."""
-    changes = spark.read.schema(f"{SCHEMA}, batch long").parquet(out)
+def state(spark: SparkSession, *out: str, base: str | None = None) -> DataFrame:
+    """i, j, v as of the last batch that changed each coordinate; of some batches only, if their folders and the one above them are given."""
+    reader = spark.read.schema(f"{SCHEMA}, batch long")
+    changes = (reader.option("basePath", base) if base else reader).parquet(*out)
     return changes.groupBy("i", "j").agg(F.max_by("v", "batch").alias("v"))
+
+
+def compact(spark: SparkSession, out: str) -> int:
+    """Fold the batches under `out` into one, so that state() reads each coordinate about once; returns the number of folders gone.
+
+    All but the last batch are folded, as a query that lost its executors may
+    write the last one again. The folded rows are added to the newest of these
+    folders, the older ones deleted after that: whatever a break leaves behind,
+    state() is the same, for rows that stand twice hold the same value. The query
+    may run on meanwhile, readers of state() may not.
+    """
+    place, store = opened(spark, out)
+    if not store.exists(place):
+        return 0
+    names = (f.getPath().getName() for f in store.listStatus(place) if f.isDirectory())
+    batches = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    *old, newest = batches[:-1] or [None]
+    if not old:
+        return 0
+    path = lambda b: f"{out}/batch={b}"
+    folded = state(spark, *map(path, (*old, newest)), base=out)
+    # what the newest folder holds itself need not be written again
+    own = spark.read.schema(SCHEMA).parquet(path(newest)).select("i", "j")
+    folded.join(own, ["i", "j"], "left_anti").select("i", "j", "v").write.mode("append").parquet(path(newest))
+    for b in old:
+        store.delete(opened(spark, path(b))[0], True)
+    return len(old)

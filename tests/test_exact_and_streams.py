@@ -80,6 +80,60 @@ def test_stream_over_restarts_and_a_repeated_batch(spark, tmp_path):
     assert len({f for f in os.listdir(out) if f.startswith("batch=")}) > 4
 
 
+def uncommitted(checkpoint):
+    """The last batch as after a loss: written, but not committed."""
+    last = max(int(f) for f in os.listdir(f"{checkpoint}/commits") if f.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        if os.path.exists(f"{checkpoint}/commits/{name}"):
+            os.remove(f"{checkpoint}/commits/{name}")
+
+
+def test_compacted_batches_hold_the_same_state(spark, tmp_path, monkeypatch):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
+    r = np.random.default_rng(1)
+    # the last files touch few coordinates, so that most values stand in old batches only
+    cells = [(int(i), int(j), float(v)) for i, j, v in r.integers(0, 9, (500, 3))] + [(1, 1, 1.0), (2, 2, 2.0), (1, 1, 3.0)]
+    df = lambda part, n: spark.createDataFrame(part, deltas.SCHEMA).repartition(n)
+    total = lambda part: sorted(map(tuple, matrix.coalesced(df(part, 2)).collect()))
+    now = lambda: sorted(map(tuple, deltas.state(spark, out).collect()))
+    folders = lambda: sorted(int(f[6:]) for f in os.listdir(out) if f.startswith("batch="))
+    assert deltas.compact(spark, out) == 0
+    for part, n in ((cells[:500], 4), (cells[500:501], 1), (cells[501:502], 1)):
+        df(part, n).write.mode("append").parquet(source)
+        deltas.follow(spark, source, out, checkpoint, files=1).awaitTermination()
+    n = len(folders())
+    assert n > 4
+    # a break after the folded rows were added, before all old folders are gone
+    with monkeypatch.context() as m:
+        m.setattr(deltas, "opened", broken_after(deltas.opened, 2))
+        with pytest.raises(OSError, match="lost"):
+            deltas.compact(spark, out)
+    assert now() == total(cells[:502])
+    assert deltas.compact(spark, out) > 0
+    assert len(folders()) == 2 and now() == total(cells[:502])
+    held = sum(spark.read.parquet(f"{out}/batch={b}").count() for b in folders())
+    assert held <= 3 * len(total(cells[:502]))
+    # the last batch, which was left alone, runs again, and the next one comes
+    uncommitted(checkpoint)
+    df(cells[502:], 1).write.mode("append").parquet(source)
+    deltas.follow(spark, source, out, checkpoint, files=1).awaitTermination()
+    assert now() == total(cells)
+    assert deltas.compact(spark, out) == 1 and now() == total(cells)
+    assert deltas.compact(spark, out) == 0
+
+
+def broken_after(call, n):
+    left = [n]
+
+    def run(*args):
+        left[0] -= 1
+        if left[0] < 0:
+            raise OSError("lost")
+        return call(*args)
+
+    return run
+
+
 def test_sweep_is_resumed(spark, tmp_path):
     """A run that breaks off in the middle of the plan: the next measures only what is missing, and the report has every cell once."""
     path = str(tmp_path / "results")
