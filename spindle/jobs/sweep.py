@@ -8,17 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.sources import results
+from spindle.sources import results, scratch
 
 from . import analytics
 
 
 def plan(matrices: DataFrame, executables: DataFrame, threads: DataFrame, runs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row for each run: only executables with a run-time schedule meet the chunk sizes."""
+    """One row for each run: only executables with a run-time schedule meet the chunk sizes.
+
+    The sides are saved first, so that Spark knows their sizes, sends the small
+    ones around, and does not multiply the numbers of their partitions.
+    """
+    matrices, executables, threads, runs, chunks = map(scratch.saved, (matrices, executables, threads, runs, chunks))
     schedule = F.when(F.col("executable").endswith("_static"), "static").when(F.col("executable").endswith("_dynamic"), "dynamic").otherwise("guided")
     kinds = executables.withColumn("schedule", F.when(F.col("executable").startswith("runtime_"), schedule))
     cut = kinds.join(chunks, F.col("schedule").isNotNull(), "left")
-    # every cell is wanted; which sides are small enough to be sent around, Spark sees by their sizes
+    # every cell is wanted
     cells = matrices.crossJoin(cut).crossJoin(threads).crossJoin(runs)
     return cells.select("matrix", "executable", "threads", "run", "chunk", "schedule")
 
