@@ -289,6 +289,17 @@ def test_quality_against_plain_counts(spark, docs, empty):
     assert bands and quality.judge(empty).count() == 0 and quality.fit(docs, empty.select("doc_id", F.lit(1).alias("quality"))) == {}
 
 
+def test_quality_learns_from_every_labelled_text(spark):
+    """More labelled good texts than 20,000, the bound before: bands are the exact quantiles of all, in every class."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{j:x}" for j in range(4000)])
+    texts = [" ".join(words[rng.integers(0, rng.integers(30, 4000), 60 if k % 400 else 60 + 20 * (k // 400))]) for k in range(24_000)]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, quality int").repartition(8)
+    want, got = plain_bands(texts), quality.fit(df, df)
+    assert len(want) > 8 and sorted(got) == sorted(want)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
 def test_learned_bands_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     table, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
