@@ -103,10 +103,10 @@ def spmv_merge(spark, d):
 @query(f"WITH {Y}, z AS (SELECT j, sum(v * y) AS x FROM coo JOIN y USING (i) GROUP BY 1) SELECT o_orderkey AS i, coalesce(sum(v * x), 0.0) AS y FROM orders LEFT JOIN coo ON o_orderkey = i LEFT JOIN z USING (j) GROUP BY 1")
 def spmv_chained(spark, d):
     """A (A' (A x)): A and its transpose are laid out once; no product moves them."""
-    coo = scratch.saved(a_matrix(spark, d))
+    coo = entries(spark, d)
     a, at = tiles.build(coo), tiles.build(matrix.transposed(coo))
     y = tiles.multiply(a, vector(spark, d), domain(spark, d))
-    z = tiles.multiply(at, y.select(F.col("i").alias("j"), F.col("y").alias("x")), table(spark, d, "part").select(F.col("p_partkey").alias("i")))
+    z = tiles.sums(at, y.select(F.col("i").alias("j"), F.col("y").alias("x")))
     return tiles.multiply(a, z.select(F.col("i").alias("j"), F.col("y").alias("x")), domain(spark, d))
 
 
